@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, int64s, read, ship, slices
+from .common import read, ship, slices
 
 #: So many labelled documents, chosen by hash of the id, train the model.
 TRAIN_DOCS = 4000
 #: A document with less content than this share of its bytes is rejected.
 MIN_SHARE = 0.5
 SEED = 6
+#: Characters whose features are computed together: some arrays take eight bytes for each.
+FEATURE_CHARS = 1 << 20
 
 # -- features: a few quantities of each line, each cut into bins
 
@@ -180,6 +182,17 @@ def _sequences(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[start], start, np.diff(start, append=len(owner))
 
 
+def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and bins of all lines, read a slice at a time."""
+    owners, bins, base = [np.zeros(0, np.int64)], [np.zeros((0, len(CUTS)), np.int64)], 0
+    for _, part in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])], "text", FEATURE_CHARS):
+        owner, _, b = line_features(part)
+        owners.append(owner + base)
+        bins.append(b)
+        base += len(part)
+    return np.concatenate(owners), np.concatenate(bins)
+
+
 def train(texts: list[str], good: list[int]) -> Field:
     """Fit on documents labelled as a whole.
 
@@ -188,7 +201,7 @@ def train(texts: list[str], good: list[int]) -> Field:
     sentences quoted amid junk, no longer count as boilerplate in the second
     fit.
     """
-    owner, _, bins = line_features(texts)
+    owner, bins = _features(texts)
     if not len(owner):
         return Field(move=np.eye(2))
     docs, start, size = _sequences(owner)
@@ -235,7 +248,7 @@ def score(docs: DataFrame, field: Field, min_share: float = MIN_SHARE) -> DataFr
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text", SLICE_CHARS):
+        for batch, texts in slices(batches, "text", FEATURE_CHARS):
             lines, own, share = content(field, texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lines), pa.array(own), pa.array(share), pa.array((lines > 0) & (share >= min_share))], ["doc_id", "n_lines", "content_lines", "content_share", "keep"])
 
@@ -250,7 +263,7 @@ def keeps(field: Field, min_share: float = MIN_SHARE):
         import pandas as pd
 
         out = []
-        for _, texts in slices([pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])], "text"):
+        for _, texts in slices([pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])], "text", FEATURE_CHARS):
             lines, _, share = content(field, texts)
             out.append((lines > 0) & (share >= min_share))
         return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
