@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, packing, quality, simhash, token_counts
+from . import chat, langid, linededup, mixing, packing, quality, simhash, token_counts, topk, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fitted(docs, read(spark, sf_dir, "labels")))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(read(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fitted(docs, read(spark, sf_dir, "labels")))
@@ -37,7 +50,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op4_source_mixing, op6_quality_rules, op7_simhash_dedup, op8_packing, op9_line_dedup)}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
+_ALL = (op1_token_counts, op2_toxicity, op3_topk_search, op4_source_mixing, op5_language_id, op6_quality_rules, op7_simhash_dedup, op8_packing, op9_line_dedup, op10_chat_format)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 LINE_DEDUP_SQL = r"""
 with split as (select doc_id, string_split(text, chr(10)) as lines from documents),
@@ -48,4 +66,4 @@ g as (select doc_id, string_agg(line, chr(10) order by pos) filter (where stays)
 select d.doc_id, case when d.text is null then null else coalesce(g.text, '') end as text, d.lang, d.source, d.n_chars, coalesce(g.n, 0)::BIGINT as lines_removed
 from documents d left join g using (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.replicate_sql(), "op9_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": topk.TOP_K_SQL, "op10_chat_format": chat.CHAT_SQL, "op4_source_mixing": mixing.replicate_sql(), "op9_line_dedup": LINE_DEDUP_SQL}
