@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401
+
+
 #: A side is broadcast only below so many estimated bytes.
 BROADCAST_BYTES = 8 << 20
 #: Documents are worked on in slices of about so many characters.
@@ -20,24 +20,6 @@ SLICE_CHARS = 4 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers.
-
-    Nothing is done where PYTHONPATH already holds it, as on a cluster on which
-    it is installed.  Else Spark's own file server distributes an archive.
-    """
-    top = Path(__file__).resolve().parents[2]
-    places = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if str(top) in [os.path.abspath(p) for p in places if p] or getattr(spark.sparkContext, "_loomline", False):
-        return
-    archive = Path(tempfile.mkdtemp()) / "loomline.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted((top / "loomline").rglob("*.py")):
-            z.write(p, p.relative_to(top))
-    spark.sparkContext.addPyFile(str(archive))
-    spark.sparkContext._loomline = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the session's, or one of our own if unset."""
     sc = spark.sparkContext
