@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.monoids import MONOIDS
-from ..shipping import ship
 from ..seq import EmptyResultError, Seq, Step, identity
+from ..shipping import ship
 
 #: Stands for no initial value; "identity" asks for the operation's own.
 NONE = object()
@@ -22,7 +22,7 @@ NONE = object()
 def _start(kind: str, init) -> Column | None:
     if init is NONE:
         return None
-    return F.lit(MONOIDS[kind].start()) if init == "identity" else (init if isinstance(init, Column) else F.lit(init))
+    return init if isinstance(init, Column) else F.lit(MONOIDS[kind].start() if init == "identity" else init)
 
 
 def fold(s: Seq, kind: str, x: Column, init=NONE, name: str = "value") -> DataFrame:

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from ..seq import RUNNING, Seq, Step
+from ..shipping import ship
 
 
 def scan(kind: str | Callable[[Column, Column], Column], column: str, init: Column | None = None, name: str = "x") -> Step:
@@ -37,10 +37,20 @@ def scan(kind: str | Callable[[Column, Column], Column], column: str, init: Colu
 
 
 def running_stat(kind: str, column: str, name: str = "x") -> Step:
-    """mean, variance or deviation of all elements so far, from running sums; null for fewer than it takes."""
+    """mean, variance or deviation of all elements so far; null for fewer than it takes.
+
+    In blocks they come from running sums, whose variance loses digits where it
+    is small against the mean.
+    """
+    plain = {"mean": F.avg, "variance": F.var_samp, "deviation": F.stddev_samp}[kind]
 
     def apply(s: Seq) -> Seq:
         x = F.col(column).cast("double")
+        s = s.blocked()
+        if not s.is_blocked:
+            value = plain(x).over(s.so_far())
+            enough = F.count(x).over(s.so_far()) > (0 if kind == "mean" else 1)
+            return s.select(F.when(enough, value).alias(name))
         out = s.running(_n=("count", x), _s=("sum", x), _q=("sum", x * x))
         n, total, squares = F.col("_n"), F.col("_s"), F.col("_q")
         mean = F.when(n > 0, total / n)
