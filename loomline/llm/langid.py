@@ -13,7 +13,9 @@ from __future__ import annotations
 import importlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -63,15 +65,17 @@ class TextModel:
     def fit(cls, texts: list[str], langs: list[str]) -> "TextModel":
         names = sorted(set(langs))
         counts = np.full((BUCKETS, len(names)), 0.1)
-        memory: dict[str, list[int]] = {}
-        for t, lang in zip(texts, langs):
-            k = names.index(lang)
-            found: list[int] = []
-            for piece in t.lower().split():
-                if piece not in memory:
-                    memory[piece] = grams(piece)
-                found += memory[piece]
-            counts[:, k] += np.bincount(np.array(found, np.int64), minlength=BUCKETS)
+        for k, name in enumerate(names):
+            pieces: Counter[str] = Counter()
+            for t, lang in zip(texts, langs):
+                if lang == name:
+                    pieces.update(t.lower().split())
+            # n-grams of each distinct word once, a slice of words at a time
+            items = iter(pieces.items())
+            while part := list(islice(items, 1 << 15)):
+                found = [grams(p) for p, _ in part]
+                each = np.repeat(np.array([n for _, n in part]), [len(g) for g in found])
+                counts[:, k] += np.bincount(np.fromiter(chain.from_iterable(found), np.int64, len(each)), weights=each, minlength=BUCKETS)
         return cls(names, np.log(counts / counts.sum(0)))
 
     def key(self) -> int:
