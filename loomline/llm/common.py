@@ -68,12 +68,17 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
                 start, size = i + 1, 0
 
 
-def unit(*columns, seed: int):
-    """A hash-seeded number in [0, 1) of the columns; DuckDB gives the same from UNIT_SQL."""
-    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
-
-
 def unit_sql(*columns: str, seed: int) -> str:
+    """A hash-seeded number in [0, 1) of the columns, in DuckDB."""
     key = " || '|' || ".join(f"coalesce({c}::VARCHAR, 'null')" for c in columns)
     return f"(('0x' || substr(md5({key} || '|{seed}'), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)})"
+
+
+def wrapped(df: DataFrame, name: str = "_row") -> DataFrame:
+    """df with each row as one struct, so columns added beside it clash with none of its own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def unwrapped(df: DataFrame, columns: list[str], *more, name: str = "_row", **changed) -> DataFrame:
+    """The columns of the struct again, some of them changed, and more after them."""
+    return df.select(*[changed.get(c, F.col(name).getField(c)).alias(c) for c in columns], *more)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, cut, int64s, ship, slices
+from .common import LAST_ID, cut, int64s, ship, slices, unwrapped, wrapped
 
 SLOTS = 4
 #: Rows that a shard works through at a time.
@@ -299,18 +299,25 @@ def dedup_lines(docs: DataFrame, shards: int | None = None) -> DataFrame:
     lines becomes empty or blank; null stays null.  Rows that repeat both
     doc_id and text are the same document and get the same result.
     """
-    removed = repeated_lines(docs, shards).groupBy("doc").agg(F.collect_list(F.struct("row", "pos")).alias("_gone"))
-    docs = docs.drop("lines_removed")
-    text = F.col("d.text").cast("string")
-    key = F.coalesce(F.col("d.doc_id").cast("long"), F.lit(LAST_ID))
-    own = F.transform(F.filter("r._gone", lambda x: x["row"] == F.xxhash64(text)), lambda x: x["pos"].cast("int"))
-    joined = docs.alias("d").join(removed.hint("shuffle_hash").alias("r"), key == F.col("r.doc"), "left")
-    split = joined.select("d.*", F.when(F.col("r._gone").isNotNull(), F.struct(F.split(text, "\n", -1).alias("lines"), own.alias("out"))).alias("_split"))
+    rows = _deduped(docs, shards)
+    columns = [c for c in docs.columns if c != "lines_removed"]
+    return unwrapped(rows, columns, F.col("_gone").alias("lines_removed"), text=F.col("_text"))
+
+
+def _deduped(docs: DataFrame, shards: int | None) -> DataFrame:
+    """(_row, _text, _gone): each row as it was, its new text, and how many lines went."""
+    removed = repeated_lines(docs, shards).groupBy("doc").agg(F.collect_list(F.struct("row", "pos")).alias("_out"))
+    text = F.col("_row.text").cast("string")
+    key = F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(LAST_ID))
+    joined = wrapped(docs).join(removed.hint("shuffle_hash"), key == F.col("doc"), "left")
+    own = F.transform(F.filter("_out", lambda x: x["row"] == F.xxhash64(text)), lambda x: x["pos"].cast("int"))
+    split = joined.select("_row", F.when(F.col("_out").isNotNull(), F.struct(F.split(text, "\n", -1).alias("lines"), own.alias("out"))).alias("_split"))
+    # by index, so the work goes with the number of lines
     kept = F.when(F.col("_split").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_split.lines") - 1), F.col("_split.out")))
     split = split.withColumn("_kept", kept)
-    new = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda i: F.get(F.col("_split.lines"), i)), "\n"))
+    new = F.when(F.col("_kept").isNull(), text).otherwise(F.array_join(F.transform("_kept", lambda i: F.get(F.col("_split.lines"), i)), "\n"))
     gone = F.coalesce(F.size("_split.lines") - F.size("_kept"), F.lit(0)).cast("long")
-    return split.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], gone.alias("lines_removed"))
+    return split.select("_row", new.alias("_text"), gone.alias("_gone"))
 
 
 class LineDedup:
@@ -413,7 +420,10 @@ def _probe(new: pa.Table, filters: pa.Table) -> pa.Table:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without repeated lines; one that loses all its text goes."""
-    out = dedup_lines(docs)
-    left = (F.col("lines_removed") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)
-    out = out.where(left).withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rows = _deduped(docs, None)
+    rows = rows.where((F.col("_gone") == 0) | F.col("_text").rlike(r"\S"))
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        n = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("_gone") > 0, n).otherwise(F.col("_row.n_chars"))
+    return unwrapped(rows, docs.columns, **changed)

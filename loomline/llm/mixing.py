@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked, cut, unit, unit_sql
+from .common import checked, cut, unit_sql, unwrapped, wrapped
 
 #: Targets for sources that are given none share what is left in equal parts; with None all sources get equal shares.
 WEIGHTS: dict[str, float] | None = None
@@ -64,21 +64,26 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = WEIGHTS, seed:
     """
     table = cut(breakpoints(rates(docs, weights)))
     table = checked(table.select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf")), 8 * 1024)
-    docs = docs.drop("copy_no")
-    name = F.coalesce(F.col("source").cast("string"), F.lit("null"))
-    drawn = docs.join(table, name == F.col("_source"))
+    columns = [c for c in docs.columns if c != "copy_no"]
+    rows = _drawn(docs, table, seed)
+    return unwrapped(rows, columns, F.col("_copy").alias("copy_no"))
+
+
+def _drawn(docs: DataFrame, table: DataFrame, seed: int) -> DataFrame:
+    """(_row, _copy): each row as often as drawn, shuffled."""
+    name = F.coalesce(F.col("_row.source").cast("string"), F.lit("null"))
+    key = F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("null"))
+    drawn = wrapped(docs).join(table, name == F.col("_source")).withColumn("_u", _unit(F.concat_ws("|", key, F.lit(str(seed)))))
     first = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     more = F.aggregate(  # parts after the first, for rates beyond PART
-        F.sequence(F.lit(1), F.col("_parts") - 1),
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_parts") - 1)),
         F.lit(0),
         lambda n, i: n + F.size(F.filter("_cdf", lambda c: c <= _unit(F.concat_ws("|", key, F.lit(str(seed)), i.cast("string"))))),
     )
     n = first + F.when(F.col("_parts") > 1, more).otherwise(F.lit(0))
-    drawn = drawn.withColumn("_u", unit("doc_id", seed=seed)).withColumn("_n", n).where("_n > 0")
-    drawn = drawn.select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_n") - 1).cast("long"))).alias("copy_no"))
-    place = F.xxhash64("doc_id", "copy_no", F.lit(seed))
-    return drawn.withColumn("_place", place).repartition(F.col("_place")).sortWithinPartitions("_place").drop("_place")
+    drawn = drawn.withColumn("_n", n.cast("long")).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_copy"))
+    place = F.xxhash64("_row.doc_id", "_copy", F.lit(seed))
+    return drawn.withColumn("_place", place).repartition(F.col("_place")).sortWithinPartitions("_place")
 
 
 def _unit(key):
@@ -99,4 +104,4 @@ def replicate_sql(documents: str = "documents", seed: int = SEED, columns: str =
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents replicated to equal shares of the sources."""
-    return replicate(docs).select(*docs.columns)
+    return replicate(docs.withColumnRenamed("copy_no", "_copy_no")).drop("copy_no").withColumnRenamed("_copy_no", "copy_no").select(*[f"`{c}`" for c in docs.columns])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, int64s, ship, slices
+from .common import cut, int64s, ship, slices, unwrapped, wrapped
 
 WORDS = 4
 BITS = 64 * WORDS
@@ -264,10 +264,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     fp = cut(signed(docs))
     gone = components(near_edges(fp)).select("doc_id")
-    out = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    gone = gone.select(F.col("doc_id").alias("_gone"))
+    rows = wrapped(docs).withColumn("_id", F.col("_row.doc_id").cast("long")).join(gone.hint("shuffle_hash"), F.col("_id") == F.col("_gone"), "left_anti")
     f = [f"f{w}" for w in range(WORDS)]
     if fp.groupBy("doc_id", *f).count().where("count > 1").head(1):
-        words = F.xxhash64(F.array_sort(F.array_distinct(F.split(F.lower("text"), r"\s+"))))
-        first = out.where("doc_id is not null").withColumn("_words", words).dropDuplicates(["doc_id", "_words"]).drop("_words")
-        out = first.unionByName(out.where("doc_id is null"))
-    return out
+        words = F.xxhash64(F.array_sort(F.array_distinct(F.split(F.lower(F.trim("_row.text")), r"\s+"))))
+        first = rows.where("_id is not null").withColumn("_words", words).dropDuplicates(["_id", "_words"]).select("_row", "_id")
+        rows = first.unionByName(rows.where("_id is null"))
+    return unwrapped(rows, docs.columns)
