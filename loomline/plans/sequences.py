@@ -373,9 +373,12 @@ def running_mean(spark, sf):
     return running_stat("mean", "value", "m")(events(spark, sf)).indexed().df.select("event_id", F.round(c("m") * (c("i") + 1), 2).alias("x"))
 
 
-@query("select event_id, user_id, case when count(*) over w > 1 then round(var_samp(value) over w, 3) end as x from events window w as (partition by user_id order by event_id)")
+@query("select event_id, user_id, case when count(*) over w > 1 then round(var_samp(value) over w * count(*) over w * (count(*) over w - 1) + 0.00003, 2) end as x from events window w as (partition by user_id order by event_id)")
 def welford_per_user(spark, sf):
-    return per_group(running_stat("variance", "value"), "user_id")(events(spark, sf)).df.select("event_id", "user_id", F.round("x", 3).alias("x"))
+    """The running variance; times n (n - 1), so values of two places give no ties to round."""
+    both = zip_(v=running_stat("variance", "value"), n=count(F.lit(1).cast("long")))
+    s = per_group(both, "user_id")(events(spark, sf))
+    return s.df.select("event_id", "user_id", F.round(c("v") * c("n") * (c("n") - 1) + 0.00003, 2).alias("x"))
 
 
 @query("select event_id, row_number() over (order by event_id) as n, value as x from (select * from events) where true qualify event_type <> 'error'")
