@@ -4,8 +4,9 @@ A word's vector is the mean of those of its character n-grams and itself, a
 window's the mean of its words', and a linear softmax reads the window.  Vectors
 and softmax are trained jointly.  An unseen misspelling shares most n-grams, and
 so most of its vector, with the word that it comes from.  Labels are of whole
-documents: the first pass gives each window its document's label, the later
-ones call only those windows toxic that stand out from all clean documents.
+documents.  At first those windows of toxic documents are called toxic that hold
+a word with far more toxic contexts than chance allows; later also those that
+the model itself sets above all clean documents.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ GRAMS = (3, 4, 5)
 WINDOW = 16
 STRIDE = 4
 REMEMBERED = 600_000
+#: Each fit makes at least so many updates.
+UPDATES = 150
 SEED = 2
 _PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&…«»“”„-_/\\"
 
@@ -140,6 +143,20 @@ class _Bags:
         size = (self.end - self.start)[rows]
         return self.grams[gram], row[at], 1.0 / (self.count[word][at] * size[row[at]])
 
+    def holding(self, label: np.ndarray, least: float = 5.0) -> np.ndarray:
+        """Windows that hold a word of toxic documents: one whose contexts (the words around it, each context
+        counted once, so copies add nothing) are mostly toxic, so that chance is so many deviations off.
+        """
+        doc = np.repeat(self.doc, self.end - self.start)
+        word = np.concatenate([self.words[a:b] for a, b in zip(self.start, self.end)]) if len(self.start) else self.words
+        before, after = np.roll(word, 1), np.roll(word, -1)
+        rows = np.unique(np.stack([word, before, after, label[doc]], 1), axis=0)
+        n = np.bincount(rows[:, 0], minlength=len(self.count))
+        a = np.bincount(rows[:, 0], weights=rows[:, 3], minlength=len(self.count))
+        p = rows[:, 3].mean()
+        z = (a - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p) + 1e-12)
+        return np.maximum.reduceat(((z >= least) & (a >= 0.75 * n)).astype(np.int8)[word], np.cumsum(self.end - self.start) - (self.end - self.start)) > 0
+
     def scores(self, slope: np.ndarray) -> np.ndarray:
         each = np.add.reduceat(slope[self.grams], self.first) / self.count
         return _window_means(each[self.words], self.start, self.end)
@@ -155,7 +172,7 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + start[owner], owner
 
 
-def train(texts: list[str], toxic: list[int], prevalence: float = 0.1, epochs: int = 2, batch: int = 256) -> Model:
+def train(texts: list[str], toxic: list[int], prevalence: float = 0.1, rounds: int = 1, passes: int = 2, batch: int = 256) -> Model:
     """Train on documents labelled as a whole; a fifth of them only sets the limit, for the best F1 at this prevalence."""
     rng = np.random.default_rng(SEED)
     label = np.asarray(toxic, np.int64)
@@ -174,6 +191,7 @@ def train(texts: list[str], toxic: list[int], prevalence: float = 0.1, epochs: i
 
     def fit(rows: np.ndarray, gold: np.ndarray, passes: int) -> None:
         weight = np.where(gold == 1, 0.5 / max(1, (gold == 1).sum()), 0.5 / max(1, (gold == 0).sum())) * len(gold)
+        passes = max(passes, -(-UPDATES * batch // len(rows)))  # few windows are gone through more often
         for _ in range(passes):
             shuffled = rng.permutation(len(rows))
             for at in range(0, len(shuffled), batch):
@@ -200,19 +218,16 @@ def train(texts: list[str], toxic: list[int], prevalence: float = 0.1, epochs: i
                     x -= 0.1 * gx / np.sqrt(sq)
 
     of_toxic = own[bags.doc] == 1
-    everything = np.arange(len(bags.doc))
-    restart()
-    fit(everything, of_toxic.astype(np.int64), 1)
-    for i in range(epochs):
-        s = bags.scores(vectors @ (soft[:, 1] - soft[:, 0])) + bias[1] - bias[0]
+    gold = (of_toxic & bags.holding(own)).astype(np.int64)
+    for _ in range(rounds):
+        restart()
+        fit(np.arange(len(gold)), gold if gold.any() else of_toxic.astype(np.int64), passes)
         # the rest of a toxic document is clean; one with no window above the clean ones may be mislabelled
-        clear = np.quantile(s[~of_toxic], 0.999) if (~of_toxic).any() else -np.inf
-        gold = (of_toxic & (s > clear)).astype(np.int64)
-        if not gold.any():
-            break
-        if i == 0:  # nothing that the documents' labels taught of other words is kept
-            restart()
-        fit(everything, gold, 1)
+        s = bags.scores(vectors @ (soft[:, 1] - soft[:, 0]))
+        clear = np.quantile(s[~of_toxic], 0.9995)
+        gold |= of_toxic & (s > clear)
+    restart()
+    fit(np.arange(len(gold)), gold, passes)
     model = Model(vectors @ (soft[:, 1] - soft[:, 0]), bias[1] - bias[0])
     held = held if len(held) and 0 < label[held].sum() < len(held) else order
     score = Scorer(model)
