@@ -142,23 +142,56 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _leaves(f: np.ndarray, rows: np.ndarray, places: np.ndarray) -> Iterator[np.ndarray]:
-    """The bucket rows as leaves of at most CAP rows, or of rows that no bit is left to split."""
-    if len(rows) <= CAP or len(places) < EXTRA:
+    """The bucket rows in leaves: of at most CAP rows, or of a crowd so much alike that further bits don't thin it out.
+
+    A split must halve the pairs, its repetitions counted in, so the whole work
+    never exceeds that of comparing all rows with each other.
+    """
+    if len(rows) <= CAP or len(places) < SPLITS * EXTRA:
         yield rows
         return
+    parts = []
     for s in range(SPLITS):
-        use = places[s * EXTRA : (s + 1) * EXTRA]
-        if len(use) < EXTRA:
-            return
-        key = _bits(f[rows], use)
+        key = _bits(f[rows], places[s * EXTRA : (s + 1) * EXTRA])
         order = np.argsort(key, kind="stable")
-        edges = np.flatnonzero(np.diff(key[order])) + 1
-        for part in np.split(order, edges):
-            if len(part) == len(rows):  # these bits tell nothing apart here
-                yield from _leaves(f, rows, places[(s + 1) * EXTRA :])
-                return
-            if len(part) > 1:
-                yield from _leaves(f, rows[part], places[SPLITS * EXTRA :])
+        parts += [p for p in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(p) > 1]
+    if 2 * sum(len(p) ** 2 for p in parts) > len(rows) ** 2:
+        yield rows
+        return
+    for p in parts:
+        yield from _leaves(f, rows[p], places[SPLITS * EXTRA :])
+
+
+def _crowd(f: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what near pairs among the rows connect.
+
+    A block of rows that are connected already is compared only with rows that
+    aren't connected to it, so a crowd of copies costs a block, not its square.
+    """
+    n = len(rows)
+    root = np.arange(n)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, n, 256):
+        block = np.arange(i, min(i + 256, n))
+        one = root[block[0]]
+        target = np.flatnonzero(root != one) if (root[block] == one).all() else np.arange(i, n)
+        if not len(target):
+            continue
+        d = np.zeros((len(block), len(target)), np.int32)
+        for w in range(WORDS):
+            d += np.bitwise_count(f[rows[block], w][:, None] ^ f[rows[target], w][None, :])
+        x, y = np.nonzero(d <= MAX_DISTANCE)
+        x, y = block[x], target[y]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        if not len(x):
+            continue
+        joined = _forest(root[x], root[y], n)
+        _, pick = np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_index=True)
+        a.append(x[pick])
+        b.append(y[pick])
+        root = joined[root]
+    return rows[np.concatenate(a)], rows[np.concatenate(b)]
 
 
 def bucket_edges(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,14 +211,7 @@ def bucket_edges(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray
     perms = samples()
     for s, e in zip(starts[size > CAP], ends[size > CAP]):
         for rows in _leaves(f, np.arange(s, e), perms[int(key[s]) >> SAMPLED, SAMPLED:]):
-            for i in range(0, len(rows), 256):
-                block = rows[i : i + 256]
-                d = np.zeros((len(block), len(rows) - i), np.int32)
-                for w in range(WORDS):
-                    d += np.bitwise_count(f[block, w][:, None] ^ f[rows[i:], w][None, :])
-                x, y = np.nonzero(d <= MAX_DISTANCE)
-                keep = x < y
-                found.append((block[x[keep]], rows[i:][y[keep]]))
+            found.append(_crowd(f, rows))
     a = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in found)])
     b = np.concatenate([np.zeros(0, np.int64), *(x for _, x in found)])
     return order[a], order[b]
