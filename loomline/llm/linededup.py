@@ -39,6 +39,8 @@ class Cuckoo:
         self.table = np.zeros((buckets, SLOTS), np.uint16) if table is None else table
 
     def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = (h ^ (h >> np.uint64(31))) * _M
+        h ^= h >> np.uint64(29)
         finger = (h >> np.uint64(48)).astype(np.uint16)
         finger[finger == 0] = 1
         mask = np.uint64(len(self.table) - 1)
@@ -55,6 +57,7 @@ class Cuckoo:
 
     def insert(self, h: np.ndarray, everything) -> None:
         """Insert distinct hashes; everything() gives all hashes held after it, if the table must grow."""
+        h = np.unique(h)
         finger, bucket, other = self._places(h)
         rng = np.random.default_rng(len(h))
         for turn in range(64):
