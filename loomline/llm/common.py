@@ -82,3 +82,22 @@ def wrapped(df: DataFrame, name: str = "_row") -> DataFrame:
 def unwrapped(df: DataFrame, columns: list[str], *more, name: str = "_row", **changed) -> DataFrame:
     """The columns of the struct again, some of them changed, and more after them."""
     return df.select(*[changed.get(c, F.col(name).getField(c)).alias(c) for c in columns], *more)
+
+
+def ngrams(words: list[str], sizes: Iterable[int], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size (they go up), the buckets of the words' n-grams between marks for their ends, and which word each is of, in order.
+
+    An empty word has none.  buckets is a power of two.
+    """
+    codes = np.frombuffer("".join([f"<{w}>" if w else "" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter([len(w) + 2 if w else 0 for w in words], np.int64, len(words))
+    word = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))
+    h, done = np.zeros(len(codes), np.uint64), 0
+    for n in sizes:
+        for k in range(done + 1, n + 1):
+            h = h[: max(0, len(codes) - k + 1)] * np.uint64(0x100000001B3) + codes[k - 1 :] + np.uint64(k)
+        done = n
+        whole = left[: len(h)] >= n
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield ((mixed >> np.uint64(40)) & np.uint64(buckets - 1)).astype(np.int64)[whole], word[: len(h)][whole]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, cut, ship, slices
+from .common import checked, cut, ngrams, ship, slices
 
 #: At most so many documents of each language, chosen by hash of the id, train the text model.
 TRAIN_DOCS = 1500
@@ -42,17 +42,13 @@ _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})", re
 _MARKS = ".,;:!?\"'()[]{}<>|*#$%&…«»“”„-_/\\@+=~^`0123456789"
 
 
-def grams(piece: str) -> list[int]:
-    """Buckets of the word's 1- to 4-grams between marks for its ends; none without letters."""
-    word = piece.strip(_MARKS)
-    if not word:
-        return []
-    word = "<" + word + ">"
-    mask = BUCKETS - 1
-    data = word.encode("utf-8", "surrogatepass")
-    if len(data) != len(word):
-        return [zlib.crc32(word[i : i + n].encode("utf-8", "surrogatepass")) & mask for n in (1, 2, 3, 4) for i in range(len(word) - n + 1)]
-    return [zlib.crc32(data[i : i + n]) & mask for n in (1, 2, 3, 4) for i in range(len(data) - n + 1)]
+def grams(pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n from 1 to 4, the buckets of the words' n-grams between marks for their ends, and which word each is of, in order.
+
+    Marks of punctuation at a word's ends are left out; a word without letters
+    has no n-grams.
+    """
+    return ngrams([p.strip(_MARKS) for p in pieces], (1, 2, 3, 4), BUCKETS)
 
 
 class TextModel:
@@ -73,9 +69,9 @@ class TextModel:
             # n-grams of each distinct word once, a slice of words at a time
             items = iter(pieces.items())
             while part := list(islice(items, 1 << 15)):
-                found = [grams(p) for p, _ in part]
-                each = np.repeat(np.array([n for _, n in part]), [len(g) for g in found])
-                counts[:, k] += np.bincount(np.fromiter(chain.from_iterable(found), np.int64, len(each)), weights=each, minlength=BUCKETS)
+                often = np.array([n for _, n in part], np.float64)
+                for bucket, word in grams([p for p, _ in part]):
+                    counts[:, k] += np.bincount(bucket, weights=often[word], minlength=BUCKETS)
         return cls(names, np.log(counts / counts.sum(0)))
 
     def key(self) -> int:
@@ -86,29 +82,36 @@ class Reader:
     """A worker's text model, with the words that it has met."""
 
     def __init__(self, model: TextModel):
-        self.model, n = model, len(model.langs)
-        outer = self
-        self.table = np.zeros((1024, n + 1))
-        logs = model.logs
-
-        class Words(dict):
-            def __missing__(self, piece: str) -> int:
-                g = grams(piece)
-                i = len(self)
-                if i == len(outer.table):
-                    outer.table = np.concatenate([outer.table, np.zeros_like(outer.table)])
-                outer.table[i, :n] = logs[g].sum(0) if g else 0
-                outer.table[i, n] = len(g)
-                self[piece] = i
-                return i
-
-        self.words = Words()
-
-    def read(self, text: str) -> tuple[np.ndarray, int]:
-        """Log likelihoods of the languages, weakened to at most EVIDENCE n-grams, the best being 0; and the number of n-grams."""
+        self.model = model
+        self.table = np.zeros((0, len(model.langs) + 1))
+        self.words: dict[str, int] = {}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Know all words of these texts: those that are new are worked out together."""
         if len(self.words) >= REMEMBERED:
             self.words.clear()
-        pieces = text.lower().split()
+        new = list(set(chain.from_iterable(texts)).difference(self.words))
+        if not new:
+            return
+        n, base = len(self.model.langs), len(self.words)
+        if base + len(new) > len(self.table):
+            self.table = np.concatenate([self.table[:base], np.zeros((len(new) + base, n + 1))])
+        for at in range(0, len(new), 1 << 14):
+            part = new[at : at + (1 << 14)]
+            rows = self.table[base + at : base + at + len(part)]
+            rows[:] = 0
+            for bucket, word in grams(part):
+                start = np.flatnonzero(np.diff(word, prepend=-1))
+                if len(start):
+                    rows[word[start], :n] += np.add.reduceat(self.model.logs[bucket], start, axis=0)
+                    rows[word[start], n] += np.diff(start, append=len(word))
+        self.words.update(zip(new, range(base, base + len(new))))
+
+    def read(self, pieces: list[str]) -> tuple[np.ndarray, int]:
+        """Log likelihoods of the languages, weakened to at most EVIDENCE n-grams, the best being 0; and the number of n-grams.
+
+        The words must be learnt.
+        """
         rows = np.fromiter(map(self.words.__getitem__, pieces), np.int64, len(pieces))
         sums = self.table[rows].sum(0)
         n = sums[-1]
@@ -162,19 +165,20 @@ EVIDENCE_COLUMNS = "id long, declared string, suffix string, domain string, host
 def _evidence(model: TextModel, markup: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = reader(model)
-        for batch, texts in slices(batches, "body"):
+        for batch, texts in slices(batches, "body", 1 << 20):
             places = batch.column("place").to_pylist()
+            split = [(visible(t) if markup else t).lower().split() for t in texts]
+            own.learn(split)
             rows: list[list] = [[], [], [], [], [], []]
-            for body, place in zip(texts, places):
+            for body, pieces, place in zip(texts, split, places):
                 declared = None
                 if markup:
                     m = _DECLARED.search(body)
                     declared = m.group(1).lower() if m else None
-                    body = visible(body)
                     host, domain, suffix = address(place)
                 else:
                     host, domain, suffix = place, None, None
-                likely, n = own.read(body)
+                likely, n = own.read(pieces)
                 for column, x in zip(rows, (declared, suffix, domain, host, n, likely.tolist())):
                     column.append(x)
             text, number = pa.string(), pa.int64()
