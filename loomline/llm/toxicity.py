@@ -14,14 +14,14 @@ from __future__ import annotations
 import importlib
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import ngrams, ship, slices
 
 #: At most so many labelled documents of each class, chosen by hash of the id, train the model.
 TRAIN_DOCS = 2500
@@ -37,18 +37,12 @@ SEED = 2
 _PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&…«»“”„-_/\\"
 
 
-def subwords(piece: str) -> list[int]:
-    """Buckets of the n-grams of the word in marks for its ends, and of the word itself."""
-    word = "<" + piece.strip(_PUNCTUATION) + ">"
-    mask = BUCKETS - 1
-    data = word.encode("utf-8", "surrogatepass")
-    out = [zlib.crc32(data, 1) & mask]
-    if len(data) == len(word):
-        word = data
-        out += [zlib.crc32(word[i : i + n]) & mask for n in GRAMS for i in range(len(word) - n + 1)]
-    else:
-        out += [zlib.crc32(word[i : i + n].encode("utf-8", "surrogatepass")) & mask for n in GRAMS for i in range(len(word) - n + 1)]
-    return out
+def subwords(pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets, each with its word: of the words themselves, and then of their n-grams between marks for their ends."""
+    bare = [p.strip(_PUNCTUATION) for p in pieces]
+    own = [zlib.crc32(w.encode("utf-8", "surrogatepass"), 1) for w in bare]
+    yield np.array(own, np.int64) & (BUCKETS - 1), np.arange(len(bare))
+    yield from ngrams(bare, GRAMS, BUCKETS)
 
 
 def windows(n: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,22 +66,23 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        slope = model.slope.tolist()
-
-        class Words(dict):
-            def __missing__(self, piece: str) -> float:
-                grams = subwords(piece)
-                s = sum([slope[g] for g in grams]) / len(grams)
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[piece] = s
-                return s
-
-        self.words = Words()
-
-    def score(self, text: str) -> float:
-        """The highest score of a window; minus infinity without words."""
-        pieces = text.lower().split()
+        self.words: dict[str, float] = {}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Know all words of these texts: those that are new are worked out together."""
+        if len(self.words) >= REMEMBERED:
+            self.words.clear()
+        new = list(set(chain.from_iterable(texts)).difference(self.words))
+        for at in range(0, len(new), 1 << 14):
+            part = new[at : at + (1 << 14)]
+            sums, n = np.zeros(len(part)), np.zeros(len(part))
+            for bucket, word in subwords(part):
+                sums += np.bincount(word, weights=self.model.slope[bucket], minlength=len(part))
+                n += np.bincount(word, minlength=len(part))
+            self.words.update(zip(part, (sums / n).tolist()))
+
+    def score(self, pieces: list[str]) -> float:
+        """The highest score of a window of these words, which must be learnt; minus infinity without words."""
         if not pieces:
             return -np.inf
         s = np.fromiter(map(self.words.__getitem__, pieces), np.float64, len(pieces))
@@ -98,6 +93,11 @@ class Scorer:
         start, end = windows(len(s), STRIDE)
         return float((sums[end] - sums[start]).max()) / WINDOW + self.model.bias
 
+    def scores(self, texts: list[str]) -> np.ndarray:
+        split = [t.lower().split() for t in texts]
+        self.learn(split)
+        return np.fromiter(map(self.score, split), np.float64, len(split))
+
 
 _scorers: dict[int, Scorer] = {}
 
@@ -130,10 +130,11 @@ class _Bags:
         none = np.zeros(0, np.int64)
         self.words = np.array(words, np.int64)
         self.start, self.end, self.doc = (np.concatenate([none, *x]) for x in (starts, ends, docs))
-        grams = [subwords(p) for p in number]
-        self.count = np.fromiter(map(len, grams), np.int64, len(grams))
+        found = [(g, w + at) for at in range(0, len(number), 1 << 14) for g, w in subwords(list(islice(number, at, at + (1 << 14))))]
+        grams, word = (np.concatenate([none, *x]) for x in zip(*found)) if found else (none, none)
+        self.grams = grams[np.argsort(word, kind="stable")]
+        self.count = np.bincount(word, minlength=len(number))
         self.first = np.cumsum(self.count) - self.count
-        self.grams = np.fromiter((g for own in grams for g in own), np.int64, int(self.count.sum()))
 
     def batch(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of these windows the buckets, the row that each belongs to, and its weight in the mean."""
@@ -231,7 +232,7 @@ def train(texts: list[str], toxic: list[int], prevalence: float = 0.1, rounds: i
     model = Model(vectors @ (soft[:, 1] - soft[:, 0]), bias[1] - bias[0])
     held = held if len(held) and 0 < label[held].sum() < len(held) else order
     score = Scorer(model)
-    s = np.array([score.score(texts[i]) for i in held])
+    s = score.scores([texts[i] for i in held])
     model.limit = _limit(s, label[held], prevalence)
     return model
 
@@ -271,8 +272,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer(model)
-        for batch, texts in slices(batches, "text"):
-            x = np.fromiter(map(s.score, texts), np.float64, len(texts))
+        for batch, texts in slices(batches, "text", 1 << 20):
+            x = s.scores(texts)
             p = 1 / (1 + np.exp(-np.clip(x, -500, 500)))
             some = np.isfinite(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.where(some, p, 0.0)), pa.array(some & (x >= model.limit))], ["doc_id", "toxicity", "toxic"])
