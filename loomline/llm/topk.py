@@ -139,8 +139,10 @@ def search_bucket(q: np.ndarray, q_id: np.ndarray, q_norm: np.ndarray, p: np.nda
                     f = focus[by_coordinate, j]
                     x = unit_q[by_coordinate, f][:, None]
                     slack = np.sqrt(np.maximum(0.0, (1 - t * t) * (1 - x * x))) + 1e-9
+                    # a query within t of the axis has the axis itself in reach
+                    low, high = np.where(x < -t, -1 - 1e-9, t * x - slack), np.where(x > t, 1 + 1e-9, t * x + slack)
                     values = unit_p[f]
-                    ok &= (values >= t * x - slack) & (values <= t * x + slack)
+                    ok &= (values >= low) & (values <= high)
                 i, c = np.nonzero(ok)
                 found.append((by_coordinate[i], c))
             if not found:

@@ -95,6 +95,29 @@ def test_top_k_equals_brute_force(coordinate, monkeypatch):
         assert list(best.id[best.row == i]) == list(np.lexsort([ids, -s[i]])[:7])
 
 
+def test_top_k_keeps_later_vectors_along_an_axis(monkeypatch):
+    monkeypatch.setattr(topk, "LOCAL", 1)
+    for sign in (1, -1):
+        q, p = np.array([[sign, 0.0]]), np.array([[sign * 9.3, 8.0], [sign * 9.9, 0.0]])
+        best = topk.search_bucket(q, np.array([9]), np.ones(1), p, np.arange(2), np.linalg.norm(p, axis=1), np.full(1, -np.inf), 1)
+        assert list(best.id) == [1] and list(best.score) == [9.9]
+
+
+def test_top_k_of_one_hot_vectors(monkeypatch):
+    monkeypatch.setattr(topk, "LOCAL", 40)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 5))
+    x[::3] = np.eye(5)[rng.integers(0, 5, 200)] * rng.choice([-1, 1], 200)[:, None]
+    x[1::3] = np.eye(5)[rng.integers(0, 5, 200)] * 3 + rng.normal(size=(200, 5)) * 0.3
+    x *= rng.lognormal(0, 0.3, 600)[:, None]
+    ids, norm = np.arange(600), np.linalg.norm(x, axis=1)
+    best = topk.search_bucket(x, ids, norm, x, ids, norm, np.full(600, -np.inf), 3)
+    s = np.round(np.einsum("ik,jk->ij", x, x), topk.DIGITS)
+    np.fill_diagonal(s, -np.inf)
+    for i in range(600):
+        assert list(best.id[best.row == i]) == list(np.lexsort([ids, -s[i]])[:3])
+
+
 def test_top_k_over_many_buckets(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 6)) * rng.lognormal(0, 1, 1500)[:, None]
