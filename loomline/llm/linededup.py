@@ -242,13 +242,27 @@ def _rows(batches) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(tables), np.concatenate(shards)
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Sorted occurrences, with those that equal the one before them added to it."""
+    new = np.ones(len(rows), bool)
+    new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in ("hi", "lo", "doc", "row", "pos")], axis=0)
+    if new.all():
+        return rows
+    starts = np.flatnonzero(new)
+    out = rows[starts]
+    out["refs"] = np.add.reduceat(rows["refs"], starts)
+    return out
+
+
 def insert_shard(rows: np.ndarray, counts: Counts, cuckoo: Cuckoo) -> np.ndarray:
     """Insert the occurrences, in order of documents; gives those that are not the first of their line.
 
     What the filter doesn't know is new.  Only the rest is looked up among the
-    exact counts; a false alarm of the filter thus does no harm.
+    exact counts; a false alarm of the filter thus does no harm.  Occurrences
+    that repeat each other, as rows repeated in several partitions have them,
+    become one first, so none is taken for a later occurrence of itself.
     """
-    rows = rows[np.lexsort([rows["pos"], rows["row"], rows["doc"]])]
+    rows = _distinct(rows[np.lexsort([rows["pos"], rows["row"], rows["doc"]])])
     repeated = []
     for start in range(0, len(rows), CHUNK):
         chunk = rows[start : start + CHUNK]

@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -365,6 +366,20 @@ def test_insert_shard_in_chunks(monkeypatch):
     assert {(r["hi"], r["lo"]): r["doc"] for r in counts.all()} == first and counts.all()["refs"].sum() == 3000
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 5])
+def test_repeated_rows_of_two_partitions_keep_their_first_lines(chunk, monkeypatch):
+    monkeypatch.setattr(linededup, "CHUNK", chunk)
+    texts = [(1, "a\nb\nc"), (2, "c\nd\na"), (3, "d\ne")]
+    partition = pa.RecordBatch.from_pydict({"doc": [i for i, _ in texts], "text": [t for _, t in texts]})
+    found = [b for _ in range(2) for b in linededup._postings(1, False)(iter([partition]))]
+    counts = linededup.Counts()
+    rows, shards = linededup._rows(found)
+    linededup.insert_shard(rows[shards >= 0], counts, linededup.Cuckoo())
+    assert list(counts.all()["refs"]) == [2 * sum(t.split("\n").count(line) for _, t in texts) for line in sorted("abcde", key=linededup.line_key)]
+    again, _ = linededup._rows(linededup._insert_partition(iter(found)))
+    assert {(int(r["doc"]), int(r["pos"])) for r in again} == {(2, 0), (2, 2), (3, 0)}
+
+
 # -- chat
 
 
