@@ -25,7 +25,8 @@ WORDS = 4
 BITS = 64 * WORDS
 #: Of the 256 bits, so many may differ.  Unrelated texts differ in about 120, near copies mostly in under 45.
 MAX_DISTANCE = 50
-TABLES = 32
+#: So many that even a pair of MAX_DISTANCE that nothing else connects meets with a probability of about 0.95 where buckets are split three times over.
+TABLES = 104
 SAMPLED = 14
 #: A bucket of more rows is split by EXTRA further bits, in SPLITS ways.
 CAP = 1024
@@ -243,7 +244,8 @@ def near_edges(fp: DataFrame) -> DataFrame:
     same = fp.join(one, f).where(F.col("doc_id") != F.col("first")).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = one.select(F.col("first").alias("doc_id"), *f).mapInArrow(_keyed, "key int, " + SIGNED)
-    near = keyed.repartition(parts, "key").mapInArrow(_edges, "a long, b long")
+    # a task holds its partition, so with more tables there are more of them
+    near = keyed.repartition(parts * -(-TABLES // 32), "key").mapInArrow(_edges, "a long, b long")
     return near.unionByName(same).distinct()
 
 

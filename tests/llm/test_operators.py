@@ -260,6 +260,24 @@ def test_oversized_buckets_are_split_without_losing_near_pairs(monkeypatch):
     assert (root[:300] == root[300:]).mean() > 0.9
 
 
+@pytest.mark.parametrize("distance", [40, 45, simhash.MAX_DISTANCE])
+def test_isolated_pairs_meet_where_buckets_are_split(distance, monkeypatch):
+    monkeypatch.setattr(simhash, "CAP", 12)
+    rng = np.random.default_rng(8)
+    n = 1500
+    bits = rng.random((n, simhash.BITS)) < 0.25  # buckets are large, and pairs far from each other
+    other = bits.copy()
+    flip = np.argsort(rng.random((n, simhash.BITS)), axis=1)[:, :distance]
+    np.put_along_axis(other, flip, ~np.take_along_axis(bits, flip, 1), 1)
+    f = np.packbits(np.concatenate([bits, other]), axis=1, bitorder="little").view(np.uint64)
+    order = simhash.samples()
+    met = np.zeros(n, bool)
+    for t in range(simhash.TABLES):
+        a, b = simhash.bucket_edges(simhash._bits(f, order[t, : simhash.SAMPLED]) + (t << simhash.SAMPLED), f)
+        met[a[np.abs(a - b) == n] % n] = True
+    assert met.mean() > 0.95
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2)) if a != b] + [(1000 + i, 1001 + i) for i in range(60)]
