@@ -31,7 +31,8 @@ COORDINATE = 0.9
 #: So many of a query's largest coordinates are compared.
 FOCUS = 4
 DIGITS = 9
-_EPS = 1e-8
+#: Slack of a comparison of products: so much, and so much of the product of both lengths, by which sums in another order differ.
+_EPS, _REL = 1e-8, 1e-9
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -110,9 +111,10 @@ def search_bucket(q: np.ndarray, q_id: np.ndarray, q_norm: np.ndarray, p: np.nda
     for at in range(0, len(p), LOCAL):
         own, own_id, own_norm = p[at : at + LOCAL], p_id[at : at + LOCAL], p_norm[at : at + LOCAL]
         unit_p = None
+        slack_of = _EPS + _REL * q_norm * own_norm[0]
         for lo in range(0, len(q), LOCAL):
             rows = np.arange(lo, min(lo + LOCAL, len(q)))
-            need = best.bound[rows] - _EPS
+            need = best.bound[rows] - slack_of[rows]
             top = q_norm[rows] * own_norm[0]
             cosine = np.where(need > 0, need / np.maximum(top, 1e-300), -1.0)
             rows, need, cosine = rows[cosine <= 1], need[cosine <= 1], cosine[cosine <= 1]
@@ -126,7 +128,7 @@ def search_bucket(q: np.ndarray, q_id: np.ndarray, q_norm: np.ndarray, p: np.nda
                 product = q[by_length] @ own[:end].T
                 floor = need[~narrow]
                 if end > k:
-                    floor = np.maximum(floor, np.partition(product, end - k - 1, axis=1)[:, end - k - 1] - _EPS)  # one more than k, as a query may meet itself
+                    floor = np.maximum(floor, np.partition(product, end - k - 1, axis=1)[:, end - k - 1] - slack_of[by_length])  # one more than k, as a query may meet itself
                 found.append(np.nonzero(product >= floor[:, None]))
                 found[-1] = (by_length[found[-1][0]], found[-1][1])
             by_coordinate = rows[narrow]
@@ -151,7 +153,7 @@ def search_bucket(q: np.ndarray, q_id: np.ndarray, q_norm: np.ndarray, p: np.nda
             differs = q_id[i] != own_id[c]
             i, c = i[differs], c[differs]
             score = np.round(np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[i[s : s + 65536]], own[c[s : s + 65536]]) for s in range(0, len(i), 65536))]), DIGITS)
-            reached = score >= best.bound[i] - _EPS
+            reached = score >= best.bound[i] - slack_of[i]
             best.add(i[reached], own_id[c[reached]], score[reached])
     return best
 
@@ -198,7 +200,7 @@ def top_k(rows: DataFrame, k: int = K) -> DataFrame:
     bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("known"))
     known = v.join(bounds, v["vec_id"] == bounds["query_id"], "left").select(*v.columns, F.coalesce("known", none).alias("bound"))
     # a bucket is worth a visit if its longest vector could reach the bound
-    others = [F.when((F.col("bound") <= 0) | (F.col("bound") <= F.col("norm") * F.lit(top) + _EPS), F.lit(b)) for b, top in tops if b]
+    others = [F.when((F.col("bound") <= 0) | (F.col("bound") <= F.col("norm") * F.lit(top * (1 + _REL)) + _EPS), F.lit(b)) for b, top in tops if b]
     result = first
     if others:
         visit = known.withColumn("visit", F.array_compact(F.array(*others)))

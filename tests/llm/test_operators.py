@@ -119,6 +119,20 @@ def test_top_k_of_one_hot_vectors(monkeypatch):
         assert list(best.id[best.row == i]) == list(np.lexsort([ids, -s[i]])[:3])
 
 
+@pytest.mark.parametrize("size", [1.0, 1e3, 1e5])
+def test_top_k_keeps_ties_of_long_vectors(size, monkeypatch):
+    """A later vector whose product ties with the k-th best so far counts by its smaller id."""
+    monkeypatch.setattr(topk, "LOCAL", 1)
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        q, p = np.zeros((1, 64)), np.repeat(rng.normal(size=(1, 64)) * size, 2, axis=0)
+        q[0, :40] = rng.normal(size=40) * size
+        p[1, 40:] /= 2  # shorter, where the query has zeros
+        norm = np.linalg.norm(p, axis=1)
+        best = topk.search_bucket(q, np.array([9]), np.linalg.norm(q, axis=1), p, np.array([1, 0]), norm, np.full(1, -np.inf), 1)
+        assert list(best.id) == [0]
+
+
 def test_top_k_over_many_buckets(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 6)) * rng.lognormal(0, 1, 1500)[:, None]
