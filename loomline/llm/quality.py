@@ -199,11 +199,11 @@ def train(texts: list[str], good: list[int]) -> Field:
     Each line first inherits its document's label.  The field then reads the
     bad documents itself, and lines that it takes for content even there, as
     sentences quoted amid junk, no longer count as boilerplate in the second
-    fit.
+    fit.  Without any line to learn from, every line counts as content.
     """
     owner, bins = _features(texts)
     if not len(owner):
-        return Field(move=np.eye(2))
+        return Field(emit=np.tile([0.0, 1.0], (FEATURES, 1)))
     docs, start, size = _sequences(owner)
     label = np.asarray(good, np.int64)
     weight = 1 / np.sqrt(size)  # long documents don't outweigh the rest
@@ -228,7 +228,11 @@ def content(field: Field, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    """A field fitted on train_docs labelled documents (all, if there are fewer)."""
+    """A field fitted on train_docs labelled documents (all, if there are fewer).
+
+    If no label belongs to a document with text, nothing is known of
+    boilerplate and the field calls every line content.
+    """
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_good"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(train_docs)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_good").collect()  # at most train_docs small rows
@@ -272,7 +276,10 @@ def keeps(field: Field, min_share: float = MIN_SHARE):
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep; those without any text go."""
+    """Pipeline stage: the documents that the rules keep; those without any text go.
+
+    Without a usable label (see fitted) every document with text is kept.
+    """
     ship(spark)
     field = fitted(docs, read(spark, sf_dir, "labels"))
     return docs.where(keeps(field)(F.col("text").cast("string")))

@@ -76,6 +76,17 @@ def test_stages(spark, docs, labels, shape, stage, tmp_path):
         assert shape != "empty" or not rows
 
 
+@pytest.mark.parametrize("rows", [[], [(99, 0, 0)], [(3, 0, 0), (4, 0, 0), (8, 0, 0)], [(1, None, 0)]], ids=["none", "no document", "no text", "null"])
+def test_quality_without_usable_labels_keeps_every_text(spark, docs, rows, tmp_path):
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    texts = [r.text for r in docs.collect()]
+    expected = sorted(t for t in texts if t and t.strip())
+    assert sorted(r.text for r in quality.stage(spark, docs, str(tmp_path)).collect()) == expected
+    scored = quality.score(docs, quality.fitted(docs, labels)).collect()
+    assert sum(s.keep for s in scored) == len(expected) and all(s.content_share == 1 for s in scored if s.keep)
+
+
 def test_repeated_rows_near_dedup(spark):
     d = spark.createDataFrame([(5, PROSE, "en", "a", 1)] * 4 + [(6, PROSE, "en", "a", 1), (None, PROSE, "en", "a", 1)], SCHEMA)
     assert sorted(simhash.stage(spark, d, "").select("doc_id").collect(), key=str) == sorted([(5,), (None,)], key=str)
