@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from ..shipping import ship  # noqa: F401
 
-
 #: A side is broadcast only below so many estimated bytes.
 BROADCAST_BYTES = 8 << 20
 #: Documents are worked on in slices of about so many characters.
@@ -20,20 +19,49 @@ SLICE_CHARS = 4 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's, or one of our own if unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from what is written."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with as many underscores after it as it takes to be none of the columns, whose case doesn't count."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Texts to learn from: at most so many characters of them in all, and a text of more than the second number is none of them.
+TRAIN_CHARS, TRAIN_TEXT = 48 << 20, 1 << 20
+
+
+def training_rows(docs: DataFrame, chosen: DataFrame, label: str, seed: int, given: str | None = None, chars: int = TRAIN_CHARS, longest: int = TRAIN_TEXT) -> list[tuple[str, object]]:
+    """(text, label) of the chosen documents (doc_id, label), which must be few, on the driver.
+
+    A document counts once: of rows that repeat its id the least text.  With
+    `given` only rows count whose column of that name is the label.  Whole texts
+    are taken in order of a hash of the id for as long as they stay within so
+    many characters; longer ones than `longest` are left out.  The result is in
+    order of text.
+    """
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(given).cast("string").alias(label)] if given else [])]
+    own = docs.where("text is not null and doc_id is not null").select(*columns).where(F.length("text") <= longest)
+    own = own.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), label)), ["doc_id", label] if given else "doc_id")
+    rows = cut(own.groupBy("doc_id", label).agg(F.min("text").alias("text")))
+    sizes = rows.select("doc_id", label, F.length("text").alias("n"), F.xxhash64("doc_id", F.lit(seed)).alias("h")).collect()  # as many as chosen
+    taken, n = [], 0
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"], str(r[label]))):
+        if n + r["n"] <= chars:
+            taken.append((r["doc_id"], r[label]))
+            n += r["n"]
+    if len(taken) < len(sizes):
+        few = docs.sparkSession.createDataFrame(taken, rows.select("doc_id", label).schema)
+        rows = rows.join(F.broadcast(few), ["doc_id", label])
+    return sorted(((r["text"], r[label]) for r in rows.collect()), key=lambda r: (r[0], str(r[1])))
+
+
 def checked(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df, which must be cheap to count, marked for broadcast if its size allows that.
 
