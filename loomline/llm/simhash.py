@@ -1,8 +1,10 @@
 """SimHash near-dedup by random bit sampling.
 
 A text's fingerprint has 256 bits: each is the majority, over the text's
-distinct lower-case words, of a hash bit of the word.  Each of several tables
-samples some coordinates of it at random and groups fingerprints that agree on
+distinct lower-case words and pairs of neighbouring words, of a hash bit of
+them.  The pairs tell apart long texts that use the same words, and texts of
+the same words in another order.  Each of several tables samples some
+coordinates of the fingerprint at random and groups fingerprints that agree on
 them.  A bucket over the cap is split by further sampled bits, several times
 over with other bits, so that a pair split apart once meets again; leaves are
 compared pair by pair.  Candidates whose distance is at most MAX_DISTANCE are
@@ -12,26 +14,35 @@ near duplicates, and groups are what they connect.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, int64s, ship, slices, unwrapped, wrapped
 
 WORDS = 4
 BITS = 64 * WORDS
 #: Of the 256 bits, so many may differ.  Unrelated texts differ in about 120, near copies mostly in under 45.
-MAX_DISTANCE = 50
-#: So many that even a pair of MAX_DISTANCE that nothing else connects meets with a probability of about 0.95 where buckets are split three times over.
+MAX_DISTANCE = 56
+#: So many that even a pair of MAX_DISTANCE that nothing else connects meets with a probability of over 0.9 where buckets are split three times over.
 TABLES = 104
-SAMPLED = 14
+SAMPLED = 13
 #: A bucket of more rows is split by EXTRA further bits, in SPLITS ways.
 CAP = 1024
 EXTRA, SPLITS = 4, 4
 SEED = 7
+#: Texts are read in slices of about so many characters.
+CHARS = 1 << 20
+#: Words whose hashes a worker remembers.
+REMEMBERED = 600_000
+#: Rows of the tables, (fingerprints x TABLES), for a task; and so many of them it compares together, or one bucket if that has more.
+TASK_ROWS = 1 << 21
+ROWS = 1 << 17
 
 _LANES = np.zeros(256, np.uint64)
 for _b in range(256):
@@ -47,34 +58,59 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _sums(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """How often each of the 256 bits is set among the hashes of each text."""
+    """How often each of the 256 bits is set among the hashes of each text, which has one at least."""
     step = 255  # eight counters of a byte lie in one word
-    parts = np.maximum(1, -(-(ends - starts) // step))
+    parts = -(-(ends - starts) // step)
     owner = np.repeat(np.arange(len(starts)), parts)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    at = starts[owner] + within * step
+    at = np.append(starts[owner] + within * step, len(h))
     sums = np.empty((len(owner), WORDS * 8), np.uint64)
-    for w in range(WORDS):
-        mixed = _mix(h + np.uint64((w * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-        sums[:, w * 8 : w * 8 + 8] = np.add.reduceat(_LANES[mixed.view(np.uint8).reshape(-1, 8)], at, axis=0)
+    for p in range(0, len(owner), 2048):  # the tables of the bits are large
+        q = min(p + 2048, len(owner))
+        own = h[at[p] : at[q]]
+        for w in range(WORDS):
+            mixed = _mix(own + np.uint64((w * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+            sums[p:q, w * 8 : w * 8 + 8] = np.add.reduceat(_LANES[mixed.view(np.uint8).reshape(-1, 8)], at[p:q] - at[p], axis=0)
     counts = sums.view(np.uint8).reshape(len(owner), BITS).astype(np.int32)
     return np.add.reduceat(counts, np.cumsum(parts) - parts, axis=0)
 
 
+class _Hashes(dict):
+    """Hashes of words, remembered by the worker."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hashes = _Hashes()
+_LOW = np.uint64((1 << 40) - 1)
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (40 bits) of the distinct words and pairs of neighbours of each text, and how many each has."""
+    split = [t.lower().split() for t in texts]
+    size = np.fromiter(map(len, split), np.int64, len(split))
+    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(split)), np.uint64, int(size.sum()))
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), size) << np.uint64(40)
+    pair = _mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[owner[:-1] == owner[1:]]
+    keys = np.concatenate([owner | h >> np.uint64(24), owner[:-1][owner[:-1] == owner[1:]] | pair >> np.uint64(24)])
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    return keys & _LOW, np.bincount((keys >> np.uint64(40)).astype(np.int64), minlength=len(texts))
+
+
 def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints as rows of four words, and which texts have any word at all."""
-    digest = xxhash.xxh3_64_intdigest
-    hashes, sizes = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        words = set(text.lower().split())
-        sizes[i] = len(words)
-        hashes.extend(digest(w.encode("utf-8", "surrogatepass")) for w in words)
-    some = sizes > 0
+    h, size = features(texts)
+    some = size > 0
     out = np.zeros((len(texts), WORDS), np.uint64)
     if some.any():
-        n = sizes[some]
+        n = size[some]
         ends = np.cumsum(n)
-        counts = _sums(np.array(hashes, np.uint64), ends - n, ends)
+        counts = _sums(h, ends - n, ends)
         # as many bits set as not: the parity of the place decides, alike in every text
         even = np.arange(BITS) % 2
         bits = 2 * counts + even > n[:, None]
@@ -100,7 +136,7 @@ SIGNED = "doc_id long, f0 long, f1 long, f2 long, f3 long"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in slices(batches, "text"):
+    for batch, texts in slices(batches, "text", CHARS):
         f, some = fingerprints(texts)
         ids, null = int64s(batch.column("doc_id"))
         some &= ~null
@@ -218,62 +254,87 @@ def bucket_edges(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[a], order[b]
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition of whole buckets, a star for each group of near rows."""
-    batches = list(batches)
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches)
-    del batches
-    key = table.column("key").to_numpy()
-    ids = table.column("doc_id").to_numpy()
-    f = np.stack([table.column(f"f{w}").to_numpy().view(np.uint64) for w in range(WORDS)], 1)
+def _stars(key: np.ndarray, ids: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    """A star for each group of near rows of these whole buckets."""
     a, b = bucket_edges(key, f)
     # ids recur from table to table: number them, and keep a spanning star of what is connected
     distinct, place = np.unique(ids, return_inverse=True)
     root = _forest(place[a], place[b], len(distinct))
     member = np.flatnonzero(root != np.arange(len(distinct)))
-    yield pa.RecordBatch.from_arrays([pa.array(distinct[root[member]]), pa.array(distinct[member])], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(distinct[root[member]]), pa.array(distinct[member])], ["a", "b"])
 
 
-def near_edges(fp: DataFrame) -> DataFrame:
-    """Edges (a, b), a < b, between ids, whose components are the groups of near duplicates."""
-    spark = fp.sparkSession
-    f = [f"f{w}" for w in range(WORDS)]
-    one = fp.groupBy(*f).agg(F.min("doc_id").alias("first"))
-    same = fp.join(one, f).where(F.col("doc_id") != F.col("first")).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = one.select(F.col("first").alias("doc_id"), *f).mapInArrow(_keyed, "key int, " + SIGNED)
-    # a task holds its partition, so with more tables there are more of them
-    near = keyed.repartition(parts * -(-TABLES // 32), "key").mapInArrow(_edges, "a long, b long")
-    return near.unionByName(same).distinct()
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a partition sorted by key; only ROWS rows, or a bucket, are held at a time."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        f = np.stack([np.asarray(batch.column(f"f{w}")).view(np.uint64) for w in range(WORDS)], 1)
+        held.append((np.asarray(batch.column("key")), np.asarray(batch.column("doc_id")), f))
+        rows += batch.num_rows
+        if rows >= ROWS and held[0][0][0] != held[-1][0][-1]:
+            key, ids, f = (np.concatenate(x) for x in zip(*held))
+            end = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            yield _stars(key[:end], ids[:end], f[:end])
+            held, rows = [(key[end:], ids[end:], f[end:])], len(key) - end
+    if rows:
+        yield _stars(*(np.concatenate(x) for x in zip(*held)))
+
+
+def near_edges(one: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, between the ids of distinct fingerprints (first, f0, ...), whose components are the groups of near ones."""
+    spark = one.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-one.count() * TABLES // TASK_ROWS))
+    keyed = one.select(F.col("first").alias("doc_id"), *(f"f{w}" for w in range(WORDS))).mapInArrow(_keyed, "key int, " + SIGNED)
+    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_edges, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, root) of every node that has an edge, root being its component's least id.
+    """(doc_id, root) of every node that has an edge but for the roots, root being its component's least id.
 
-    Alternates linking each node with the least of its neighbourhood (first of
-    the larger ones, then of the smaller ones) till nothing changes; every round
-    is written to the shared folder, and the number of rounds goes with the
-    logarithm of a component's size.
+    Alternates linking each node with the least of its neighbourhood (first the
+    larger ones of it, then the smaller ones) till nothing changes.  A round
+    shuffles twice and is written to the shared folder; the number of rounds
+    goes with the logarithm of a component's size.
     """
+
     def sign(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    def near(e: DataFrame) -> DataFrame:  # what goes by u after this needs no shuffle
+        return e.repartition("u").dropDuplicates(["u", "v"])
+
+    least = F.min("v").over(Window.partitionBy("u"))
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     before = sign(edges)
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = cut(small)
+        both = near(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.withColumn("m", F.least(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = near(large).withColumn("m", least)
+        edges = cut(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v"))
         if (now := sign(edges)) == before:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
         before = now
 
 
+def _groups(fp: DataFrame) -> DataFrame:
+    """(doc_id, root) of every document but the least of its group, of fingerprints as signed() gives them.
+
+    Only distinct fingerprints are compared and connected; a document that
+    shares one with a document of smaller id follows that, so a crowd of exact
+    copies never makes a crowd of edges.
+    """
+    f = [f"f{w}" for w in range(WORDS)]
+    one = cut(fp.groupBy(*f).agg(F.min("doc_id").alias("first")))
+    same = fp.join(one, f).where("doc_id <> first").select("first", "doc_id").distinct()
+    # ids under which there are several texts connect what these are near to
+    several = fp.groupBy("doc_id").agg(F.min(F.struct(*f)).alias("a"), F.max(F.struct(*f)).alias("b")).where("a <> b").select("doc_id")
+    links = same.join(several, "doc_id", "left_semi").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    roots = components(near_edges(one).unionByName(links))
+    leaves = same.join(several, "doc_id", "left_anti").join(roots.withColumnRenamed("doc_id", "first"), "first", "left")
+    return roots.unionByName(leaves.select("doc_id", F.coalesce("root", "first").alias("root")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_doc_id): each document that goes, with the one of its group that stays, that of the least id.
 
@@ -282,21 +343,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     differ, as one whose versions are all compared.  Two texts are near if their
     fingerprints differ in at most MAX_DISTANCE bits; groups are transitive.
     """
-    return components(near_edges(cut(signed(docs)))).select("doc_id", F.col("root").alias("kept_doc_id"))
+    return _groups(cut(signed(docs))).select("doc_id", F.col("root").alias("kept_doc_id"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near duplicates, and all that have none.
 
-    Rows that repeat id and fingerprint are copies, too, and one of them stays.
+    Of rows that repeat an id and, but for case and white space, a text, the
+    one stays whose columns, read as strings, come first.  Rows without an id
+    or without any word all stay.
     """
     fp = cut(signed(docs))
-    gone = components(near_edges(fp)).select("doc_id")
-    gone = gone.select(F.col("doc_id").alias("_gone"))
+    gone = _groups(fp).select(F.col("doc_id").alias("_gone"))
     rows = wrapped(docs).withColumn("_id", F.col("_row.doc_id").cast("long")).join(gone.hint("shuffle_hash"), F.col("_id") == F.col("_gone"), "left_anti")
-    f = [f"f{w}" for w in range(WORDS)]
-    if fp.groupBy("doc_id", *f).count().where("count > 1").head(1):
-        words = F.xxhash64(F.array_sort(F.array_distinct(F.split(F.lower(F.trim("_row.text")), r"\s+"))))
-        first = rows.where("_id is not null").withColumn("_words", words).dropDuplicates(["_id", "_words"]).select("_row", "_id")
-        rows = first.unionByName(rows.where("_id is null"))
+    again = fp.groupBy("doc_id", *(f"f{w}" for w in range(WORDS))).count().where("count > 1").select(F.col("doc_id").alias("_again")).distinct()
+    if again.head(1):  # else nothing is to be done for them
+        again = cut(again)
+        text = F.col("_row.text").cast("string")
+        of = F.col("_id") == F.col("_again")
+        copies = rows.join(again, of, "left_semi").where(text.rlike(r"(?U)\S"))
+        rest = rows.join(again, of, "left_anti").unionByName(rows.join(again, of, "left_semi").where(~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))))
+        words = F.xxhash64(F.split(F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " "))), " "))
+        whole = F.struct(*[F.col("_row").getField(c).cast("string") for c in docs.columns])
+        rows = rest.unionByName(copies.groupBy("_id", words.alias("_words")).agg(F.min_by("_row", whole).alias("_row")).select("_row", "_id"))
     return unwrapped(rows, docs.columns)
