@@ -10,7 +10,10 @@ state after an insertion and a deletion is the state from before.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import uuid
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, cut, int64s, ship, slices, unwrapped, wrapped
+from ..seq import estimated_bytes
+from .common import LAST_ID, cut, free_name, int64s, ship, slices, unwrapped, wrapped
 
 SLOTS = 4
 #: Rows that a shard works through at a time.
 CHUNK = 1 << 16
+#: A shard is for about so many bytes of documents, as Catalyst estimates them without a job.
+SHARD_BYTES = 16 << 20
+MOST_SHARDS = 100_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,8 +63,11 @@ class Cuckoo:
         return (self.table[a] == finger[:, None]).any(1) | (self.table[b] == finger[:, None]).any(1)
 
     def insert(self, h: np.ndarray, everything) -> None:
-        """Insert distinct hashes; everything() gives all hashes held after it, if the table must grow."""
-        h = np.unique(h)
+        """Insert a fingerprint for each of these hashes; everything() gives all hashes held after it, if the table must grow.
+
+        Keys that share a hash each have a fingerprint of their own, so that one
+        can be removed and the other stays.
+        """
         finger, bucket, other = self._places(h)
         rng = np.random.default_rng(len(h))
         for turn in range(64):
@@ -194,7 +204,7 @@ def _postings(shards: int, keep_all: bool):
                 for pos, line in enumerate(text.split("\n")):
                     if line := line.strip(" \t\r"):
                         if r is None:
-                            r = row_key(text)
+                            r = row_key("\0" + text if null[i] else text)
                         part.append(line_key(line))
                         at.append(i)
                         row.append(r)
@@ -287,6 +297,19 @@ def _insert_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield _batch(out, np.full(len(out), shard, np.int32))
 
 
+def shards_for(docs: DataFrame) -> int:
+    """The number of shards for a table: by its estimated size, and at least the session's shuffle partitions.
+
+    Where there is no estimate, as of rows that aren't from files, or one of
+    over a petabyte, which is a join's, the lengths of the texts are added up.
+    """
+    size = estimated_bytes(docs)
+    if size > 1 << 50:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_SHARDS, size // SHARD_BYTES))
+
+
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
 
@@ -295,11 +318,10 @@ def repeated_lines(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """The occurrences (doc, row, pos) of lines that are not the first of their line in all docs.
 
     doc is the id, or the largest of its type for null; row tells apart texts
-    under the same id.
+    under the same id, and rows without an id from those of that largest id.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship(docs.sparkSession)
+    shards = shards or shards_for(docs)
     found = _source(docs).mapInArrow(_postings(shards, False), POSTINGS)
     # a local repeat (shard -1) goes on as it is, wherever its key lies
     spread = F.when(F.col("shard") < 0, F.pmod("hi", F.lit(shards))).otherwise(F.col("shard")).cast("int")
@@ -309,26 +331,27 @@ def repeated_lines(docs: DataFrame, shards: int | None = None) -> DataFrame:
 def dedup_lines(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """docs with every line but the first occurrence of each taken out of text.
 
-    Occurrences are ordered by doc_id (null last) and place in the text.  Lines
-    are compared without white space at their ends; blank lines are left as
-    they are.  All columns stay; `lines_removed` (which a column of that name
-    in docs gives way to) tells how many lines went.  A text that loses all its
-    lines becomes empty or blank; null stays null.  Rows that repeat both
-    doc_id and text are the same document and get the same result.
+    Occurrences are ordered by doc_id (null last, beside the largest id of the
+    type), then by a hash of the text, and by place in the text.  Lines are
+    compared without white space at their ends; blank lines are left as they
+    are.  All columns stay; a last one, `lines_removed` (with underscores after
+    it where docs has such a column), tells how many lines went.  A text that
+    loses all its lines becomes empty or blank; null stays null.  Rows that
+    repeat both doc_id and text are the same document and get the same result;
+    so do rows without doc_id that repeat a text.
     """
-    rows = _deduped(docs, shards)
-    columns = [c for c in docs.columns if c != "lines_removed"]
-    return unwrapped(rows, columns, F.col("_gone").alias("lines_removed"), text=F.col("_text"))
+    gone = F.col("_gone").alias(free_name("lines_removed", docs.columns))
+    return unwrapped(_deduped(docs, shards), docs.columns, gone, text=F.col("_text"))
 
 
 def _deduped(docs: DataFrame, shards: int | None) -> DataFrame:
     """(_row, _text, _gone): each row as it was, its new text, and how many lines went."""
-    removed = repeated_lines(docs, shards).groupBy("doc").agg(F.collect_list(F.struct("row", "pos")).alias("_out"))
-    text = F.col("_row.text").cast("string")
-    key = F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(LAST_ID))
-    joined = wrapped(docs).join(removed.hint("shuffle_hash"), key == F.col("doc"), "left")
-    own = F.transform(F.filter("_out", lambda x: x["row"] == F.xxhash64(text)), lambda x: x["pos"].cast("int"))
-    split = joined.select("_row", F.when(F.col("_out").isNotNull(), F.struct(F.split(text, "\n", -1).alias("lines"), own.alias("out"))).alias("_split"))
+    removed = repeated_lines(docs, shards).groupBy("doc", "row").agg(F.collect_list(F.col("pos").cast("int")).alias("_out"))
+    text, i = F.col("_row.text").cast("string"), F.col("_row.doc_id").cast("long")
+    # by text as well, so rows without an id don't meet in one task
+    row = F.when(i.isNull(), F.xxhash64(F.concat(F.lit("\0"), text))).otherwise(F.xxhash64(text))
+    joined = wrapped(docs).join(removed.hint("shuffle_hash"), (F.coalesce(i, F.lit(LAST_ID)) == F.col("doc")) & (row == F.col("row")), "left")
+    split = joined.select("_row", F.when(F.col("_out").isNotNull(), F.struct(F.split(text, "\n", -1).alias("lines"), F.col("_out").alias("out"))).alias("_split"))
     # by index, so the work goes with the number of lines
     kept = F.when(F.col("_split").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_split.lines") - 1), F.col("_split.out")))
     split = split.withColumn("_kept", kept)
@@ -340,24 +363,42 @@ def _deduped(docs: DataFrame, shards: int | None) -> DataFrame:
 class LineDedup:
     """The state of incremental line dedup in a folder of the shared file system.
 
-    insert() and delete() write the next version beside the last and move the
-    pointer, so a run that breaks off leaves the last version in force.
+    counts: every line with its count and first owner; filters: the cuckoo
+    filter of each shard; postings: which documents have each line.  All three
+    lie by shard, and docs tells which shards a document's lines are in.
+
+    insert() and delete() read and write the shards that they touch and no
+    others.  They write them into a folder of their own, and then a manifest,
+    MANIFEST.<version>, which names the folders in force of every shard.  It
+    appears whole or not at all, so a run that breaks off leaves the last
+    version in force.  vacuum() removes what is in force no longer.  One run
+    may write at a time; a second one fails.
 
-    counts: every line with its count and first owner; postings: which lines
-    each document has; filters: the cuckoo filter of each shard.
+    Rows without a doc_id are kept under, and deleted with, the largest id of
+    its type.
     """
 
-    TABLES = ("counts", "postings", "filters")
+    SCHEMAS = {"counts": POSTINGS, "postings": POSTINGS, "filters": "shard int, filter binary", "docs": "doc long, shard int, bucket int"}
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 64):
         ship(spark)
-        self.spark, self.path, self.version = spark, path.rstrip("/"), 0
-        fs = self._fs()
-        if fs.exists(self._hadoop(f"{self.path}/CURRENT")):
-            head = spark.read.text(f"{self.path}/CURRENT").first()[0]
-            self.version, self.shards = (int(x) for x in head.split())
+        self.spark, self.path = spark, path.rstrip("/")
+        found = self._versions("MANIFEST.")
+        if found:
+            read = json.loads(spark.read.text(f"{self.path}/MANIFEST.{max(found)}", wholetext=True).first()[0])
+            self.state = read | {k: {int(s): v for s, v in read[k].items()} for k in ("counts", "postings")}
         else:
-            self.shards = shards
+            self.state = {"version": 0, "shards": shards, "counts": {}, "postings": {}, "docs": []}
+
+    @property
+    def version(self) -> int:
+        return self.state["version"]
+
+    @property
+    def shards(self) -> int:
+        return self.state["shards"]
+
+    # -- files
 
     def _hadoop(self, p: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)
@@ -365,21 +406,51 @@ class LineDedup:
     def _fs(self):
         return self._hadoop(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def table(self, name: str) -> DataFrame:
-        schema = {"counts": POSTINGS, "postings": POSTINGS, "filters": "shard int, filter binary"}[name]
-        if not self.version:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{self.version}/{name}")
-
-    def _commit(self, counts: DataFrame, postings: DataFrame) -> None:
-        new = self.version + 1
-        at = f"{self.path}/v{new}"
-        counts.write.mode("overwrite").parquet(f"{at}/counts")
-        postings.write.mode("overwrite").parquet(f"{at}/postings")
-        written = self.spark.read.schema(POSTINGS).parquet(f"{at}/counts")
-        written.select("shard", "hi").repartition(self.shards, "shard").sortWithinPartitions("shard").mapInArrow(_filters, "shard int, filter binary").write.mode("overwrite").parquet(f"{at}/filters")
-        self.spark.createDataFrame([(f"{new} {self.shards}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
-        self.version = new
+    def _versions(self, prefix: str) -> list[int]:
+        """The numbers of the files or folders with this name before them."""
+        fs, at = self._fs(), self._hadoop(self.path)
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and n.removeprefix(prefix).isdigit()]
+
+    def _read(self, name: str, folders: dict[int, list[int]], by: str) -> DataFrame:
+        """A table's rows: of each version the parts (of column `by`) that are given."""
+        out = self.spark.createDataFrame([], self.SCHEMAS[name])
+        for v, parts in sorted(folders.items()):
+            rows = self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.path}/v{v}/{name}")
+            out = out.unionByName(rows.where(F.col(by).isin(parts)))
+        return out
+
+    def table(self, name: str, shards: Iterable[int] | None = None) -> DataFrame:
+        """counts, filters or postings of these shards, or of all."""
+        live = self.state["postings" if name == "postings" else "counts"]
+        folders = defaultdict(list)
+        for shard in live if shards is None else live.keys() & set(shards):
+            for v in live[shard] if name == "postings" else [live[shard]]:
+                folders[v].append(shard)
+        return self._read(name, folders, "shard")
+
+    def _write(self, df: DataFrame, name: str, part: str = "shard") -> None:
+        df.repartition(part).sortWithinPartitions(part).write.mode("overwrite").partitionBy(part).parquet(f"{self.path}/v{self.version + 1}/{name}")
+
+    def _commit(self, state: dict) -> None:
+        """Put the next version in force: a manifest under another name, renamed when it is whole."""
+        state["version"] = self.version + 1
+        fs, part, whole = self._fs(), self._hadoop(f"{self.path}/.{uuid.uuid4().hex}"), self._hadoop(f"{self.path}/MANIFEST.{state['version']}")
+        out = fs.create(part)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if fs.exists(whole) or not fs.rename(part, whole):
+            raise RuntimeError(f"version {state['version']} of {self.path} was written by another run")
+        self.state = state
+
+    def vacuum(self) -> None:
+        """Remove the folders and manifests that the newest manifest does without."""
+        kept = {*self.state["counts"].values(), *self.state["docs"], *(v for vs in self.state["postings"].values() for v in vs)}
+        for prefix, live in (("v", kept), ("MANIFEST.", {self.version})):
+            for v in set(self._versions(prefix)) - live:
+                self._fs().delete(self._hadoop(f"{self.path}/{prefix}{v}"), True)
+
+    # -- operations
 
     def occurrences(self, docs: DataFrame) -> DataFrame:
         return _source(docs).mapInArrow(_postings(self.shards, True), POSTINGS)
@@ -390,53 +461,106 @@ class LineDedup:
         Only lines that the filter may know are joined with the exact counts.
         """
         new = cut(self.occurrences(docs))
-        shard = lambda df: df.groupBy("shard")
-        probed = shard(new).cogroup(shard(self.table("filters"))).applyInArrow(_probe, POSTINGS + ", maybe boolean")
-        old = self.table("counts")
+        touched = [r[0] for r in new.select("shard").distinct().collect()]  # shards
         keys = ["shard", "hi", "lo"]
-        known = probed.where("maybe").join(old.select(*keys), keys, "left_semi").select("doc", "row", "pos", *keys)
-        first = F.min(F.struct("doc", "row", "pos")).alias("first")
-        fresh = new.groupBy(*keys).agg(first, F.sum("refs").alias("refs"))
-        repeated = new.join(fresh.select(*keys, "first"), keys).where(F.struct("doc", "row", "pos") != F.col("first")).select("doc", "row", "pos")
-        repeated = cut(known.select("doc", "row", "pos").unionByName(repeated).distinct())
-        self._commit(self._sum(old, new), self.table("postings").unionByName(new))
+        old, filters = self.table("counts", touched), self.table("filters", touched)
+        probed = new.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_probe, POSTINGS + ", maybe boolean")
+        known = probed.where("maybe").join(old.select(*keys), keys, "left_semi").select("doc", "row", "pos")
+        first = F.min(F.struct("doc", "row", "pos")).alias("f")
+        added = cut(new.groupBy(*keys).agg(first, F.sum("refs").alias("refs")))
+        repeated = new.join(added.select(*keys, "f"), keys).where(F.struct("doc", "row", "pos") != F.col("f")).select("doc", "row", "pos")
+        repeated = cut(known.unionByName(repeated).distinct())
+        both = old.withColumn("fresh", F.lit(0)).unionByName(added.select(*keys, "refs", "f.*", F.lit(1).alias("fresh")))
+        # fresh in what is added alone
+        counts = cut(both.groupBy(*keys).agg(F.sum("refs").alias("refs"), first, F.min("fresh").alias("fresh")).select(*keys, "refs", "f.doc", "f.row", "f.pos", "fresh"))
+        self._write(counts.drop("fresh"), "counts")
+        self._write(counts.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_grown, self.SCHEMAS["filters"]), "filters")
+        self._write(new, "postings")
+        self._write(new.select("doc", "shard", F.pmod(F.xxhash64("doc"), F.lit(self.shards)).cast("int").alias("bucket")).distinct(), "docs", "bucket")
+        v = self.version + 1
+        state = dict(self.state, docs=[*self.state["docs"], v], counts=self.state["counts"] | {s: v for s in touched})
+        state["postings"] = self.state["postings"] | {s: [*self.state["postings"].get(s, []), v] for s in touched}
+        self._commit(state)
         return repeated
 
+    def touched_by(self, ids: DataFrame) -> list[int]:
+        """The shards that have lines of these documents (doc), of which only the index of their own is read."""
+        bucket = F.pmod(F.xxhash64("doc"), F.lit(self.shards)).cast("int")
+        buckets = [r[0] for r in ids.select(bucket).distinct().collect()]  # at most as many as shards
+        held = self._read("docs", {v: buckets for v in self.state["docs"]}, "bucket")
+        return [r[0] for r in held.join(ids, "doc", "left_semi").select("shard").distinct().collect()]  # shards
+
     def delete(self, doc_ids: DataFrame) -> None:
-        """Take the documents with these ids (column doc_id) out again; others' counts stay exact."""
-        ids = doc_ids.select(F.col("doc_id").cast("long").alias("doc")).where("doc is not null").distinct()
-        rest = cut(self.table("postings").join(ids, "doc", "left_anti").select(*self.table("postings").columns))
-        self._commit(self._sum(rest.limit(0), rest), rest)
+        """Take the documents with these ids (column doc_id) out again.
 
-    @staticmethod
-    def _sum(a: DataFrame, b: DataFrame) -> DataFrame:
-        rows = a.unionByName(b).groupBy("shard", "hi", "lo").agg(F.sum("refs").alias("refs"), F.min(F.struct("doc", "row", "pos")).alias("f"))
-        return rows.select("shard", "hi", "lo", "refs", "f.doc", "f.row", "f.pos")
+        Counts of their lines go down; a line whose count falls to nothing
+        leaves the table and has its fingerprint removed from the filter; one
+        that loses its first owner gets the first that is left.
+        """
+        ids = cut(doc_ids.select(F.col("doc_id").cast("long").alias("doc")).where("doc is not null").distinct())
+        touched = self.touched_by(ids)
+        if not touched:
+            return
+        keys = ["shard", "hi", "lo"]
+        postings, old, filters = (self.table(name, touched) for name in ("postings", "counts", "filters"))
+        rest = cut(postings.join(ids, "doc", "left_anti").select(*postings.columns))
+        less = cut(postings.join(ids, "doc", "left_semi").groupBy(*keys).agg(F.sum("refs").alias("less")))
+        owners = rest.join(less, keys, "left_semi").groupBy(*keys).agg(F.min(F.struct("doc", "row", "pos")).alias("f"))
+        left = old.join(less, keys, "left").withColumn("refs", F.col("refs") - F.coalesce("less", F.lit(0))).where("refs > 0").join(owners, keys, "left")
+        counts = cut(left.select(*keys, "refs", *[F.coalesce(F.col("f")[c], F.col(c)).alias(c) for c in ("doc", "row", "pos")]))
+        gone = less.join(counts, keys, "left_anti").select("shard", "hi")
+        self._write(counts, "counts")
+        self._write(filters.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(_shrunk, self.SCHEMAS["filters"]), "filters")
+        self._write(rest, "postings")
+        v = self.version + 1
+        self._commit(dict(self.state, counts=self.state["counts"] | dict.fromkeys(touched, v), postings=self.state["postings"] | {s: [v] for s in touched}))
 
 
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shards, keys = [], []
-    for b in batches:
-        shards.append(np.asarray(b.column("shard")))
-        keys.append(np.asarray(b.column("hi")).view(np.uint64))
-    if not shards:
-        return
-    shard, key = np.concatenate(shards), np.concatenate(keys)
-    for s in np.unique(shard):
-        own = key[shard == s]
-        c = Cuckoo(len(own))
-        c.insert(own, lambda own=own: own)
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([c.to_bytes()], pa.binary())], ["shard", "filter"])
+def _keys(table: pa.Table) -> np.ndarray:
+    return table.column("hi").to_numpy().view(np.uint64)
+
+
+def _filter(table: pa.Table, size: int = 1024) -> Cuckoo:
+    return Cuckoo.from_bytes(table.column("filter")[0].as_py()) if table.num_rows else Cuckoo(size)
+
+
+def _stored(shard: int, cuckoo: Cuckoo) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([cuckoo.to_bytes()], pa.binary())})
 
 
 def _probe(new: pa.Table, filters: pa.Table) -> pa.Table:
-    known = Cuckoo.from_bytes(filters.column("filter")[0].as_py()) if filters.num_rows else Cuckoo()
-    maybe = known.contains(new.column("hi").to_numpy().view(np.uint64))
-    return new.append_column("maybe", pa.array(maybe, pa.bool_()))
+    """Occurrences with whether the filter may know them."""
+    if not new.num_rows:
+        return new.append_column("maybe", pa.array([], pa.bool_()))
+    return new.append_column("maybe", pa.array(_filter(filters).contains(_keys(new)), pa.bool_()))
+
+
+def _grown(counts: pa.Table, filters: pa.Table) -> pa.Table:
+    """The filter with the fresh keys in it; all keys are there in case it must be larger."""
+    if not counts.num_rows:
+        return filters
+    every, cuckoo = _keys(counts), _filter(filters, counts.num_rows)
+    cuckoo.insert(every[counts.column("fresh").to_numpy() == 1], lambda: every)
+    return _stored(counts.column("shard")[0].as_py(), cuckoo)
+
+
+def _shrunk(filters: pa.Table, gone: pa.Table) -> pa.Table:
+    """The filter without the fingerprints of the keys that are gone."""
+    if not filters.num_rows:
+        return filters
+    cuckoo = _filter(filters)
+    if gone.num_rows:
+        cuckoo.remove(_keys(gone))
+    return _stored(filters.column("shard")[0].as_py(), cuckoo)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without repeated lines; one that loses all its text goes."""
+    """Pipeline stage: documents without repeated lines; one that loses all its text goes.
+
+    Lines are told apart and rows without id, with repeats or of null text are
+    treated as in dedup_lines; a text that was null or blank before stays.
+    n_chars, if there is such a column, becomes the new length.
+    """
     rows = _deduped(docs, None)
     rows = rows.where((F.col("_gone") == 0) | F.col("_text").rlike(r"\S"))
     changed = {"text": F.col("_text")}
