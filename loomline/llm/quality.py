@@ -14,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship, slices
+from .common import read, ship, slices, training_rows
 
 #: So many labelled documents, chosen by hash of the id, train the model.
 TRAIN_DOCS = 4000
+#: To learn from, documents are cut into pieces of so many lines; to decode, they are worked on in parts of at least so many.
+TRAIN_LINES = 64
+PART_LINES = 256
 #: A document with less content than this share of its bytes is rejected.
 MIN_SHARE = 0.5
 SEED = 6
@@ -118,64 +121,117 @@ class Field:
         return self.emit[bins + OFFSETS[:-1]].sum(1)
 
     def decode(self, scores: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Viterbi: the best states of sequences that lie one after another, all at once; 1 is content."""
-        best = scores.copy()
-        back = np.zeros((len(scores), 2), np.int8)
-        order = np.argsort(-size, kind="stable")
-        start, size = start[order], size[order]
-        for t in range(1, int(size.max(initial=0))):
-            at = start[: np.searchsorted(-size, -t)] + t
-            via = best[at - 1][:, :, None] + self.move
-            back[at] = via.argmax(1)
-            best[at] += via.max(1)
+        """Viterbi: the best states of sequences that lie one after another; 1 is content.
+
+        Sequences are cut into parts.  All parts go from line to line together,
+        once for each state that the line before them may have; the parts of a
+        sequence are then joined in order, and read back together.  Of equally
+        good states the lower is taken.
+        """
+        longest = int(size.max(initial=0))
         state = np.zeros(len(scores), np.int8)
-        ends = start + size - 1
-        state[ends] = best[ends].argmax(1)
-        for t in range(int(size.max(initial=0)) - 1, 0, -1):
-            at = start[: np.searchsorted(-size, -t)] + t
-            state[at - 1] = back[at, state[at]]
+        if not longest:
+            return state
+        step = max(PART_LINES, int(np.ceil(np.sqrt(longest))))
+        parts = -(-size // step)
+        first = np.cumsum(parts) - parts  # of each sequence
+        seq = np.repeat(np.arange(len(size)), parts)
+        rank = np.arange(len(seq)) - first[seq]
+        at = start[seq] + rank * step
+        length = np.minimum(step, start[seq] + size[seq] - at)
+        order = np.argsort(-length, kind="stable")
+        back = np.zeros((len(scores), 2, 2), np.int8)  # by the state before the part and that of the line
+        best = np.empty((len(seq), 2, 2))
+        best[:] = scores[at][:, None, :] + np.where(rank[:, None, None] > 0, self.move, 0.0)
+        for t in range(1, int(length.max())):
+            own = order[: np.searchsorted(-length[order], -t)]
+            via = best[own][:, :, :, None] + self.move
+            back[at[own] + t] = via.argmax(2)
+            best[own] = via.max(2) + scores[at[own] + t][:, None, :]
+        chain = best[first, 0]  # the best so far of each sequence, by its last state
+        entry = np.zeros((len(seq), 2), np.int8)  # the best state before a part, by the state at its end
+        for r in range(1, int(parts.max())):
+            own = np.flatnonzero(parts > r)
+            via = chain[own][:, :, None] + best[first[own] + r]
+            entry[first[own] + r] = via.argmax(1)
+            chain[own] = via.max(1)
+        end, before = np.zeros(len(seq), np.int8), np.zeros(len(seq), np.int8)
+        end[first + parts - 1] = chain.argmax(1)
+        for r in range(int(parts.max()) - 1, 0, -1):
+            own = first[parts > r] + r
+            before[own] = entry[own, end[own]]
+            end[own - 1] = before[own]
+        state[at + length - 1] = end
+        for t in range(int(length.max()) - 1, 0, -1):
+            own = order[: np.searchsorted(-length[order], -t)]
+            row = at[own] + t
+            state[row - 1] = back[row, before[own], state[row]]
         return state
 
-    def fit(self, bins: np.ndarray, start: np.ndarray, size: np.ndarray, gold: np.ndarray, weight: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 2e-5) -> "Field":
-        """Maximum conditional likelihood by forward and backward passes and Adam; weight is of each sequence."""
-        order = np.argsort(-size, kind="stable")
-        start, size, weight = start[order], size[order], weight[order]
-        longest = int(size[0])
-        at = [start[: np.searchsorted(-size, -t)] + t for t in range(longest)]
-        of = np.empty(len(bins), np.int64)
-        for rows in at:
-            of[rows] = np.arange(len(rows))
-        w = weight[of] / weight.sum()
-        place = bins + OFFSETS[:-1]
-        inner = np.concatenate([r for r in at[1:]]) if longest > 1 else np.zeros(0, np.int64)
+    def fit(self, bins: np.ndarray, start: np.ndarray, size: np.ndarray, gold: np.ndarray, weight: np.ndarray, rounds: int = 120, rate: float = 0.15, decay: float = 2e-5) -> "Field":
+        """Maximum conditional likelihood by Adam; weight is of each sequence."""
+        task = Likelihood(bins, start, size, gold, weight)
         theta = np.concatenate([self.emit.ravel(), self.move.ravel()])
         m = v = np.zeros_like(theta)
         for step in range(1, rounds + 1):
-            emit, move = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
-            s = emit[place].sum(1)
-            forward, backward = s.copy(), np.zeros_like(s)
-            for rows in at[1:]:
-                forward[rows] += np.logaddexp.reduce(forward[rows - 1][:, :, None] + move, axis=1)
-            for rows in reversed(at[1:]):
-                backward[rows - 1] = np.logaddexp.reduce(move + (s[rows] + backward[rows])[:, None, :], axis=2)
-            total = np.logaddexp.reduce(forward + backward, axis=1)
-            p = np.exp(forward + backward - total[:, None])
-            d = (np.eye(2)[gold] - p) * w[:, None]
-            g = np.zeros((FEATURES, 2))
-            for k in range(place.shape[1]):
-                for c in range(2):
-                    g[:, c] += np.bincount(place[:, k], weights=d[:, c], minlength=FEATURES)
-            pair = np.exp(forward[inner - 1][:, :, None] + move + (s[inner] + backward[inner])[:, None, :] - total[inner][:, None, None])
-            true = np.zeros_like(pair)
-            true[np.arange(len(inner)), gold[inner - 1], gold[inner]] = 1
-            gm = ((true - pair) * w[inner][:, None, None]).sum(0)
-            grad = np.concatenate([g.ravel(), gm.ravel()]) - decay * theta
+            grad = task(theta)[1] - decay * theta
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.emit, self.move = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
         return self
 
 
+class Likelihood:
+    """The weighted mean log likelihood of the gold states and its gradient, by forward and backward passes."""
+
+    def __init__(self, bins: np.ndarray, start: np.ndarray, size: np.ndarray, gold: np.ndarray, weight: np.ndarray):
+        order = np.argsort(-size, kind="stable")
+        start, size, weight = start[order], size[order], weight[order]
+        self.at = [start[: np.searchsorted(-size, -t)] + t for t in range(int(size[0]))]
+        of = np.empty(len(bins), np.int64)
+        for rows in self.at:
+            of[rows] = np.arange(len(rows))
+        self.w, self.gold = weight[of] / weight.sum(), gold
+        self.inner = np.concatenate([np.zeros(0, np.int64), *self.at[1:]])
+        # lines alike in all bins are scored once
+        kinds, self.kind = np.unique(bins, axis=0, return_inverse=True)
+        self.kind = self.kind.ravel()
+        self.place = kinds + OFFSETS[:-1]
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        emit, move = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
+        s = emit[self.place].sum(1)[self.kind]
+        forward, backward = s.copy(), np.zeros_like(s)
+        for rows in self.at[1:]:
+            forward[rows] += _log_sum(forward[rows - 1][:, :, None] + move)
+        for rows in reversed(self.at[1:]):
+            backward[rows - 1] = _log_sum(move.T + (s[rows] + backward[rows])[:, :, None])
+        total = _log_sum((forward + backward)[:, :, None])[:, 0]
+        p = np.exp(forward + backward - total[:, None])
+        line = np.arange(len(s))
+        d = -p
+        d[line, self.gold] += 1
+        d *= self.w[:, None]
+        kinds = np.stack([np.bincount(self.kind, weights=d[:, c], minlength=len(self.place)) for c in range(2)], 1)
+        g = np.zeros_like(emit)
+        for k in range(self.place.shape[1]):
+            for c in range(2):
+                g[:, c] += np.bincount(self.place[:, k], weights=kinds[:, c], minlength=len(g))
+        inner = self.inner
+        pair = np.exp(forward[inner - 1][:, :, None] + move + (s[inner] + backward[inner])[:, None, :] - total[inner][:, None, None])
+        gm = -(pair * self.w[inner][:, None, None]).sum(0)
+        np.add.at(gm, (self.gold[inner - 1], self.gold[inner]), self.w[inner])
+        heads = self.at[0]
+        value = (self.w * s[line, self.gold]).sum() + (self.w[inner] * move[self.gold[inner - 1], self.gold[inner]]).sum() - (self.w[heads] * total[heads]).sum()
+        return float(value), np.concatenate([g.ravel(), gm.ravel()])
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log(exp(x[:, 0]) + exp(x[:, 1]))"""
+    a, b = x[:, 0], x[:, 1]
+    return np.maximum(a, b) + np.log1p(np.exp(-np.abs(a - b)))
+
+
 def _sequences(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents that have lines, with the start and number of them."""
     start = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -199,19 +255,27 @@ def train(texts: list[str], good: list[int]) -> Field:
     Each line first inherits its document's label.  The field then reads the
     bad documents itself, and lines that it takes for content even there, as
     sentences quoted amid junk, no longer count as boilerplate in the second
-    fit.  Without any line to learn from, every line counts as content.
+    fit.  If not both labels have lines, nothing tells content from
+    boilerplate, and every line counts as content.
     """
     owner, bins = _features(texts)
-    if not len(owner):
+    label = np.asarray(good, np.int64)
+    gold = label[owner] if len(owner) else owner
+    if not len(owner) or gold.min() == gold.max():
         return Field(emit=np.tile([0.0, 1.0], (FEATURES, 1)))
     docs, start, size = _sequences(owner)
-    label = np.asarray(good, np.int64)
     weight = 1 / np.sqrt(size)  # long documents don't outweigh the rest
-    gold = label[owner]
+    # long sequences would take a step for each of their lines: they are learnt from in pieces
+    pieces = -(-size // TRAIN_LINES)
+    of = np.repeat(np.arange(len(size)), pieces)
+    rank = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    end = (start + size)[of]
+    start = start[of] + rank * TRAIN_LINES
+    size, weight = np.minimum(TRAIN_LINES, end - start), weight[of]
     field = Field().fit(bins, start, size, gold, weight)
     alone = field.scores(bins)
     gold = np.where((gold == 0) & (alone[:, 1] - alone[:, 0] > 2), 1, gold)
-    return Field(field.emit, field.move).fit(bins, start, size, gold, weight, rounds=60)
+    return Field(field.emit, field.move).fit(bins, start, size, gold, weight, rounds=50)
 
 
 def content(field: Field, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,16 +292,16 @@ def content(field: Field, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    """A field fitted on train_docs labelled documents (all, if there are fewer).
+    """A field fitted on train_docs labelled documents (all, if there are fewer), as far as training_rows takes them.
 
-    If no label belongs to a document with text, nothing is known of
-    boilerplate and the field calls every line content.
+    A document with several labels is good if one of them says so.  If the
+    labels of documents with text are not of both kinds, or there are none,
+    nothing is known of boilerplate and the field calls every line content.
     """
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_good"))
+    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("long").alias("_good"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(train_docs)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_good").collect()  # at most train_docs small rows
-    rows.sort(key=lambda r: r.text)
-    return train([r.text for r in rows], [int(r._good) for r in rows])
+    rows = training_rows(docs, chosen, "_good", SEED)
+    return train([text for text, _ in rows], [int(good) for _, good in rows])
 
 
 SCORED = "doc_id long, n_lines long, content_lines long, content_share double, keep boolean"
@@ -276,9 +340,12 @@ def keeps(field: Field, min_share: float = MIN_SHARE):
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep; those without any text go.
+    """Pipeline stage: the documents that the rules keep, with all their columns as they are.
 
-    Without a usable label (see fitted) every document with text is kept.
+    Null, empty and blank texts go.  Rows are judged by their text alone, so
+    repeated rows stay or go together, and so do rows without an id.  A share
+    of exactly MIN_SHARE stays.  Without labels of both kinds (see fitted)
+    every document with text is kept.
     """
     ship(spark)
     field = fitted(docs, read(spark, sf_dir, "labels"))
