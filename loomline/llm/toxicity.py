@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ngrams, ship, slices
+from .common import ngrams, ship, slices, training_rows
 
 #: At most so many labelled documents of each class, chosen by hash of the id, train the model.
 TRAIN_DOCS = 2500
@@ -29,7 +29,6 @@ BUCKETS = 1 << 16
 DIM = 12
 GRAMS = (3, 4, 5)
 WINDOW = 16
-STRIDE = 4
 REMEMBERED = 600_000
 #: Each fit makes at least so many updates.
 UPDATES = 150
@@ -45,9 +44,9 @@ def subwords(pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield from ngrams(bare, GRAMS, BUCKETS)
 
 
-def windows(n: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of windows over n words; the last one ends with the text."""
-    start = np.arange(0, max(1, n - WINDOW + 1), stride)
+def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of windows over n words that follow each other; the last one ends with the text."""
+    start = np.arange(0, max(1, n - WINDOW + 1), WINDOW)
     if n > WINDOW and start[-1] != n - WINDOW:
         start = np.append(start, n - WINDOW)
     return start, np.minimum(start + WINDOW, n)
@@ -82,16 +81,15 @@ class Scorer:
             self.words.update(zip(part, (sums / n).tolist()))
 
     def score(self, pieces: list[str]) -> float:
-        """The highest score of a window of these words, which must be learnt; minus infinity without words."""
+        """The highest score of all windows of WINDOW neighbours of these words, which must be learnt; minus infinity without words."""
         if not pieces:
             return -np.inf
         s = np.fromiter(map(self.words.__getitem__, pieces), np.float64, len(pieces))
-        s = s[np.append(True, s[1:] != s[:-1])]  # a word said over and over counts once
+        s = s[np.append(True, s[1:] != s[:-1])]  # a word said over and over, marks at its ends aside, counts once
         if len(s) <= WINDOW:
             return float(s.mean()) + self.model.bias
         sums = np.concatenate([[0.0], np.cumsum(s)])
-        start, end = windows(len(s), STRIDE)
-        return float((sums[end] - sums[start]).max()) / WINDOW + self.model.bias
+        return float((sums[WINDOW:] - sums[:-WINDOW]).max()) / WINDOW + self.model.bias
 
     def scores(self, texts: list[str]) -> np.ndarray:
         split = [t.lower().split() for t in texts]
@@ -121,7 +119,7 @@ class _Bags:
         for i, t in enumerate(texts):
             own = [number.setdefault(p, len(number)) for p, _ in groupby(t.lower().split())]
             if own:
-                s, e = windows(len(own), WINDOW)
+                s, e = windows(len(own))
                 starts.append(s + base)
                 ends.append(e + base)
                 docs.append(np.full(len(s), i))
@@ -174,11 +172,14 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def train(texts: list[str], toxic: list[int], prevalence: float = 0.1, rounds: int = 1, passes: int = 2, batch: int = 256) -> Model:
-    """Train on documents labelled as a whole; a fifth of them only sets the limit, for the best F1 at this prevalence."""
+    """Train on documents labelled as a whole; a fifth of them only sets the limit, for the best F1 at this prevalence.
+
+    Documents of one label alone, or of none, teach nothing: the limit is then infinite, so no text is toxic.
+    """
     rng = np.random.default_rng(SEED)
     label = np.asarray(toxic, np.int64)
     if not len(label) or label.min() == label.max():
-        return Model(np.zeros(BUCKETS), 0.0, np.inf if not label.any() else -np.inf)
+        return Model(np.zeros(BUCKETS), 0.0, np.inf)
     order = rng.permutation(len(label))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
     bags = _Bags([texts[i] for i in used])
@@ -249,24 +250,28 @@ def _limit(s: np.ndarray, gold: np.ndarray, prevalence: float) -> float:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """A model fitted on at most train_docs documents of each class; the prevalence is that of all labels."""
-    given = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    """A model fitted on at most train_docs documents of each class, as far as training_rows takes them; the prevalence is that of all labels.
+
+    A document with several labels is toxic if one of them says so.
+    """
+    given = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("_toxic"))
     shares = {r["_toxic"]: r["count"] for r in given.groupBy("_toxic").count().collect()}  # two rows
     place = F.xxhash64("doc_id", F.lit(SEED))
     chosen = None
     for c in (0, 1):
         part = given.where(F.col("_toxic") == c).orderBy(place, "doc_id").limit(train_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_toxic").collect()  # at most twice train_docs rows
-    rows.sort(key=lambda r: r.text)
+    rows = training_rows(docs, chosen, "_toxic", SEED)
     prevalence = shares.get(1, 0) / max(1, sum(shares.values()))
-    return train([r.text for r in rows], [int(r._toxic) for r in rows], min(0.5, max(0.01, prevalence)))
+    return train([text for text, _ in rows], [int(toxic) for _, toxic in rows], min(0.5, max(0.01, prevalence)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, toxicity, toxic) of every row: the probability of its most toxic window, and whether it reaches the limit.
 
-    Null, empty and blank texts have toxicity 0 and aren't toxic. Null ids stay; repeated rows are scored alike.
+    Null, empty and blank texts have toxicity 0 and aren't toxic.  Null ids
+    stay; repeated rows are scored alike.  A score of just the limit is toxic;
+    with labels of one class alone (see train) nothing is.
     """
     ship(docs.sparkSession)
 
