@@ -1,9 +1,11 @@
 """Exact top-k search by inner product over norm buckets.
 
-Vectors are grouped by length (norm) into buckets.  The products of a query
-with the longest bucket bound its k-th best product from below.  A bucket whose
-longest vector can't reach that bound is skipped before anything is shuffled to
-it.  In a bucket that can, the bound divided by both lengths is the local
+Vectors are grouped by length (norm) into buckets, which are gone through from
+the longest on.  Every query is a row that carries its best k so far; their
+least product is its bound.  A bucket is broadcast, and each task searches it
+for its own queries, so no vector is shuffled for a search.  A query whose bound
+the longest vector of a bucket can't reach is finished with all further ones.
+In a bucket that can reach it, the bound divided by both lengths is the local
 threshold of the cosine: if it is high, only vectors whose coordinates lie in
 the ranges that such a cosine allows are looked at; else only those that are
 long enough.  All that is left is verified by its product.
@@ -11,19 +13,21 @@ long enough.  All that is left is verified by its product.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import checked, cut, ship
 
 K = 10
-#: A bucket has at most about so many vectors.
-BUCKET = 65536
+#: A bucket has at most about so many bytes of vectors: it is broadcast.
+BUCKET_BYTES = 48 << 20
+#: A task has at most about so many queries.
+QUERIES = 16384
 #: Of a bucket, so many vectors are gone through together, longest first.
 LOCAL = 2048
 #: From this cosine on, coordinates prune better than lengths.
@@ -43,19 +47,18 @@ def vectors(rows: DataFrame) -> DataFrame:
     return v.withColumn("norm", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)))
 
 
-def bucketed(v: DataFrame, size: int = BUCKET) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """v with the number of its bucket, 0 being the longest, and each bucket's largest norm.
+def bucketed(v: DataFrame, size: int | None = None) -> tuple[DataFrame, list[tuple[int, float]], int, int]:
+    """v with the number of its bucket, 0 being the longest; each bucket's largest norm; the largest width; the number of vectors.
 
-    Buckets end at quantiles of the norm; one that equal norms make too large is
-    split by hash.
+    Buckets of about `size` vectors end at quantiles of the norm; one that equal
+    norms make too large is split by hash.
     """
     spark = v.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = v.count()
-    parts = max(-(-n // size), min(int(np.ceil(np.sqrt(2 * tasks))), -(-n // 256)), 1)
+    n, width = v.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    parts = max(1, -(-n // (size or max(1, BUCKET_BYTES // (8 * width)))))
     cuts = v.select(F.percentile_approx("norm", [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 and n else []
     cuts = sorted(set(cuts or []), reverse=True)
-    coarse = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: F.col("norm") <= c)) if cuts else F.lit(0)
+    coarse = F.size(F.filter(F.lit(np.array(cuts)), lambda c: F.col("norm") <= c)) if cuts else F.lit(0)
     v = v.withColumn("coarse", coarse)
     sizes = {r["coarse"]: r["count"] for r in v.groupBy("coarse").count().collect()}  # a row for each bucket
     first, split = {}, {}
@@ -66,12 +69,12 @@ def bucketed(v: DataFrame, size: int = BUCKET) -> tuple[DataFrame, list[tuple[in
     v = v.join(checked(table, 16), "coarse").withColumn("bucket", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("split"))).cast("int"))
     v = cut(v.select("vec_id", "embedding", "norm", "bucket"))
     tops = [(r["bucket"], r["top"]) for r in v.groupBy("bucket").agg(F.max("norm").alias("top")).collect()]  # a row for each bucket
-    return v, sorted(tops)
+    return v, sorted(tops), width, n
 
 
-def _matrix(table: pa.Table, dim: int) -> np.ndarray:
-    column = table.column("embedding").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+def _matrix(table: pa.Table | pa.RecordBatch, dim: int) -> np.ndarray:
+    column = table.column("embedding")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat, offsets = np.asarray(column.values), np.asarray(column.offsets)
     out = np.zeros((len(column), dim))
     size = np.diff(offsets)
@@ -101,11 +104,15 @@ class Best:
         np.maximum.at(self.bound, self.row[last], self.score[last])
 
 
-def search_bucket(q: np.ndarray, q_id: np.ndarray, q_norm: np.ndarray, p: np.ndarray, p_id: np.ndarray, p_norm: np.ndarray, bound: np.ndarray, k: int) -> Best:
-    """The best k vectors p of each query q whose product reaches the query's bound; both sides of equal width."""
+def by_length(p: np.ndarray, p_id: np.ndarray, p_norm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors of a bucket, the longest first."""
     order = np.lexsort([p_id, -p_norm])
-    p, p_id, p_norm = p[order], p_id[order], p_norm[order]
-    best = Best(bound, k)
+    return p[order], p_id[order], p_norm[order]
+
+
+def search_bucket(q: np.ndarray, q_id: np.ndarray, q_norm: np.ndarray, p: np.ndarray, p_id: np.ndarray, p_norm: np.ndarray, best: Best) -> Best:
+    """best, with what of the vectors p, the longest of which come first, belongs to the best of each query q; both sides of equal width."""
+    k = best.k
     unit_q = q / np.maximum(q_norm, 1e-300)[:, None]
     focus = np.argsort(-np.abs(unit_q), axis=1, kind="stable")[:, :FOCUS]
     for at in range(0, len(p), LOCAL):
@@ -120,17 +127,17 @@ def search_bucket(q: np.ndarray, q_id: np.ndarray, q_norm: np.ndarray, p: np.nda
             rows, need, cosine = rows[cosine <= 1], need[cosine <= 1], cosine[cosine <= 1]
             narrow = cosine >= COORDINATE
             found = []
-            by_length = rows[~narrow]
-            if len(by_length):
+            long_enough = rows[~narrow]
+            if len(long_enough):
                 # the longest of these vectors that any query needs; shorter ones can't reach its bound
-                reach = np.where(need[~narrow] > 0, need[~narrow] / np.maximum(q_norm[by_length], 1e-300), -1.0)
+                reach = np.where(need[~narrow] > 0, need[~narrow] / np.maximum(q_norm[long_enough], 1e-300), -1.0)
                 end = int(np.searchsorted(-own_norm, -reach.min(), side="right"))
-                product = q[by_length] @ own[:end].T
+                product = q[long_enough] @ own[:end].T
                 floor = need[~narrow]
                 if end > k:
-                    floor = np.maximum(floor, np.partition(product, end - k - 1, axis=1)[:, end - k - 1] - slack_of[by_length])  # one more than k, as a query may meet itself
+                    floor = np.maximum(floor, np.partition(product, end - k - 1, axis=1)[:, end - k - 1] - slack_of[long_enough])  # one more than k, as a query may meet itself
                 found.append(np.nonzero(product >= floor[:, None]))
-                found[-1] = (by_length[found[-1][0]], found[-1][1])
+                found[-1] = (long_enough[found[-1][0]], found[-1][1])
             by_coordinate = rows[narrow]
             if len(by_coordinate):
                 if unit_p is None:
@@ -158,32 +165,27 @@ def search_bucket(q: np.ndarray, q_id: np.ndarray, q_norm: np.ndarray, p: np.nda
     return best
 
 
-def _cell(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def work(queries: pa.Table, probes: pa.Table) -> pa.Table:
-        if not queries.num_rows or not probes.num_rows:
-            none = pa.array([], pa.int64())
-            return pa.table({"query_id": none, "neighbor_id": none, "score": pa.array([], pa.float64())})
-        probes = probes.select(["p_id", "p_embedding", "p_norm"]).rename_columns(["vec_id", "embedding", "norm"])
-        width = max(int(np.diff(np.asarray(c.offsets)).max(initial=1)) for t in (queries, probes) for c in t.column("embedding").chunks)
-        q_id = queries.column("vec_id").to_numpy()
-        best = search_bucket(_matrix(queries, width), q_id, queries.column("norm").to_numpy(), _matrix(probes, width), probes.column("vec_id").to_numpy(), probes.column("norm").to_numpy(), queries.column("bound").to_numpy(), k)
-        return pa.table({"query_id": q_id[best.row], "neighbor_id": best.id, "score": best.score})
+STATE = "vec_id long, embedding array<double>, norm double, bound double, ids array<long>, scores array<double>"
 
-    return work
 
+def _search(bucket: Broadcast, width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Queries (as of STATE) with the bucket's vectors (as by_length gives them) taken into their best."""
 
-FOUND = "query_id long, neighbor_id long, score double"
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, p_id, p_norm = bucket.value
+        for batch in (b.slice(at, LOCAL) for b in batches for at in range(0, b.num_rows, LOCAL)):
+            best = Best(batch.column("bound").to_numpy(), k)
+            known = batch.column("ids")
+            best.add(np.repeat(np.arange(len(known)), np.diff(np.asarray(known.offsets))), np.asarray(known.flatten()), np.asarray(batch.column("scores").flatten()))
+            search_bucket(_matrix(batch, width), batch.column("vec_id").to_numpy(), batch.column("norm").to_numpy(), p, p_id, p_norm, best)
+            at = pa.array(np.append(0, np.cumsum(np.bincount(best.row, minlength=batch.num_rows))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (best.id, best.score)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "embedding", "norm")), pa.array(best.bound), *lists], ["vec_id", "embedding", "norm", "bound", "ids", "scores"])
 
-
-def _cells(queries: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """Search queries (with bound and the buckets to visit) in the probes."""
-    q = queries.select("bucket", F.explode("visit").alias("probe"), "vec_id", "embedding", "norm", "bound")
-    own = queries.select(F.col("bucket").alias("b")).distinct()
-    p = probes.select(F.col("bucket").alias("p"), F.col("vec_id").alias("p_id"), F.col("embedding").alias("p_embedding"), F.col("norm").alias("p_norm")).join(checked(own, 8), how="cross")
-    return q.groupBy("bucket", "probe").cogroup(p.groupBy("b", "p")).applyInArrow(_cell(k), FOUND)
+    return work
 
 
-def top_k(rows: DataFrame, k: int = K) -> DataFrame:
+def top_k(rows: DataFrame, k: int = K, size: int | None = None) -> DataFrame:
     """(query_id, rank, neighbor_id, score): for every vector the k others of the largest inner product.
 
     Products are rounded to DIGITS places; among equal ones the smaller id comes
@@ -191,22 +193,33 @@ def top_k(rows: DataFrame, k: int = K) -> DataFrame:
     neither queries nor found; of rows with one id the least vector counts; a
     shorter vector is compared as if it went on with zeros.
     """
-    ship(rows.sparkSession)
-    v, tops = bucketed(vectors(rows))
+    spark = rows.sparkSession
+    ship(spark)
+    v, tops, width, n = bucketed(vectors(rows), size)
     if not tops:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, neighbor_id long, score double")
-    none = F.lit(float("-inf"))
-    first = cut(_cells(v.withColumn("bound", none).withColumn("visit", F.array(F.lit(0))), v.where("bucket = 0"), k))
-    bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("known"))
-    known = v.join(bounds, v["vec_id"] == bounds["query_id"], "left").select(*v.columns, F.coalesce("known", none).alias("bound"))
-    # a bucket is worth a visit if its longest vector could reach the bound
-    others = [F.when((F.col("bound") <= 0) | (F.col("bound") <= F.col("norm") * F.lit(top * (1 + _REL)) + _EPS), F.lit(b)) for b, top in tops if b]
-    result = first
-    if others:
-        visit = known.withColumn("visit", F.array_compact(F.array(*others)))
-        result = first.unionByName(_cells(visit, v.where("bucket > 0"), k))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbor_id"))
-    return result.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "score")
+        return spark.createDataFrame([], "query_id long, rank int, neighbor_id long, score double")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // QUERIES))
+    none = [F.lit(float("-inf")).alias("bound"), F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("scores")]
+    active = v.select("vec_id", "embedding", "norm", *none).repartition(tasks, "vec_id")
+    finished = []
+    for number, top in tops:
+        if number:
+            # the longest vector of the bucket, and so of all after it, could reach the bound
+            reach = (F.col("bound") <= 0) | (F.col("bound") <= F.col("norm") * F.lit(top * (1 + _REL)) + _EPS)
+            finished.append(active.where(~reach))
+            active = active.where(reach)
+            if not active.head(1):
+                break
+        table = v.where(F.col("bucket") == number).select("vec_id", "embedding", "norm").toArrow()  # about BUCKET_BYTES
+        bucket = spark.sparkContext.broadcast(by_length(_matrix(table, width), table.column("vec_id").to_numpy(), table.column("norm").to_numpy()))
+        del table
+        active = cut(active.mapInArrow(_search(bucket, width, k), STATE))
+        bucket.destroy()
+    out = active
+    for part in finished:
+        out = out.unionByName(part)
+    found = out.select(F.col("vec_id").alias("query_id"), F.posexplode(F.arrays_zip("ids", "scores")).alias("pos", "f"))
+    return found.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("f.ids").alias("neighbor_id"), F.col("f.scores").alias("score"))
 
 
 TOP_K_SQL = f"""
