@@ -22,14 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import checked, cut, ngrams, ship, slices
+from .common import checked, cut, ngrams, ship, slices, training_rows
 
 #: At most so many documents of each language, chosen by hash of the id, train the text model.
 TRAIN_DOCS = 1500
 BUCKETS = 1 << 15
-#: A text tells as much as so many of its n-grams at most, for neighbouring ones say the same.
-EVIDENCE = 48.0
+#: Neighbouring n-grams say much the same, so log likelihoods are weakened by a factor.  It is the one of these that fits best
+#: to held-out pieces of so many words, each documents' next in turn.
+HEATS = tuple(2.0 ** (-k / 4) for k in range(25))
+PIECES = (1, 2, 4, 8)
 #: Pages that a level's parent counts for.
 SMOOTHING = 5.0
 #: Pages of a declaration or suffix that are imagined beforehand.
@@ -52,18 +55,27 @@ def grams(pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class TextModel:
-    """Log probabilities of the n-grams in each language."""
+    """Log probabilities of the n-grams in each language, and the factor that weakens their sums."""
 
-    def __init__(self, langs: list[str], logs: np.ndarray):
-        self.langs, self.logs = langs, logs
+    def __init__(self, langs: list[str], logs: np.ndarray, heat: float = 1.0):
+        self.langs, self.logs, self.heat = langs, logs, heat
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str]) -> "TextModel":
+        """All texts make the probabilities; the factor is of those that four fifths of the texts give for the rest."""
         names = sorted(set(langs))
-        counts = np.full((BUCKETS, len(names)), 0.1)
+        held = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % 5 == 0 for t in texts]
+        parts = [cls._counts([(t, lang) for t, lang, h in zip(texts, langs, held) if h == part], names) for part in (False, True)]
+        model = cls(names, cls._logs(parts[0]))
+        model.heat = model._fitting_heat([(t, names.index(lang)) for t, lang, h in zip(texts, langs, held) if h])
+        return cls(names, cls._logs(parts[0] + parts[1]), model.heat)
+
+    @staticmethod
+    def _counts(rows: list[tuple[str, str]], names: list[str]) -> np.ndarray:
+        counts = np.zeros((BUCKETS, len(names)))
         for k, name in enumerate(names):
             pieces: Counter[str] = Counter()
-            for t, lang in zip(texts, langs):
+            for t, lang in rows:
                 if lang == name:
                     pieces.update(t.lower().split())
             # n-grams of each distinct word once, a slice of words at a time
@@ -72,10 +84,34 @@ class TextModel:
                 often = np.array([n for _, n in part], np.float64)
                 for bucket, word in grams([p for p, _ in part]):
                     counts[:, k] += np.bincount(bucket, weights=often[word], minlength=BUCKETS)
-        return cls(names, np.log(counts / counts.sum(0)))
+        return counts
+
+    @staticmethod
+    def _logs(counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + 0.1) / (counts + 0.1).sum(0)) if counts.shape[1] else counts
+
+    def _fitting_heat(self, rows: list[tuple[str, int]]) -> float:
+        """The factor under which the languages of pieces of these texts are likeliest; 1 if there is nothing to tell by."""
+        if len(self.langs) < 2:
+            return 1.0
+        own, split, gold = Reader(self), [], []
+        for t, k in rows:
+            words, at = t.lower().split(), 0
+            while at < len(words):
+                n = PIECES[len(split) % len(PIECES)]
+                split.append(words[at : at + n])
+                gold.append(k)
+                at += n
+        own.learn(split)
+        sums = [own.read(pieces) for pieces in split]
+        x, g = np.array([x for x, n in sums if n]).reshape(-1, len(self.langs)), np.array([k for (_, n), k in zip(sums, gold) if n], np.int64)
+        if not len(x):
+            return 1.0
+        fits = [(h * x[np.arange(len(g)), g] - np.log(np.exp(h * x).sum(1))).mean() for h in HEATS]
+        return HEATS[int(np.argmax(fits))]
 
     def key(self) -> int:
-        return zlib.crc32(self.logs.tobytes())
+        return zlib.crc32(self.logs.tobytes()) ^ hash(self.heat)
 
 
 class Reader:
@@ -108,15 +144,14 @@ class Reader:
         self.words.update(zip(new, range(base, base + len(new))))
 
     def read(self, pieces: list[str]) -> tuple[np.ndarray, int]:
-        """Log likelihoods of the languages, weakened to at most EVIDENCE n-grams, the best being 0; and the number of n-grams.
+        """Log likelihoods of the languages, weakened by the model's factor, the best being 0; and the number of n-grams.
 
         The words must be learnt.
         """
         rows = np.fromiter(map(self.words.__getitem__, pieces), np.int64, len(pieces))
         sums = self.table[rows].sum(0)
-        n = sums[-1]
-        x = sums[:-1] * (min(EVIDENCE, n) / n) if n else sums[:-1]
-        return x - x.max(initial=-np.inf) if len(x) else x, int(n)
+        x = sums[:-1] * self.model.heat
+        return x - x.max(initial=-np.inf) if len(x) else x, int(sums[-1])
 
 
 _readers: dict[int, Reader] = {}
@@ -132,15 +167,20 @@ def reader(model: TextModel) -> Reader:
 
 
 def fitted(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> TextModel:
-    """A text model of the languages named in docs, from at most train_docs documents of each."""
-    from pyspark.sql.window import Window
-
-    given = docs.where("doc_id is not null and lang is not null and text is not null")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))
-    chosen = cut(given.select("doc_id", "lang").distinct().withColumn("_n", place).where(F.col("_n") <= train_docs).select("doc_id", "lang"))
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").collect()  # at most train_docs a language
-    rows.sort(key=lambda r: (r.lang, r.text or ""))
-    return TextModel.fit([r.text or "" for r in rows], [r.lang for r in rows])
+    """A text model of the languages named in docs, from at most train_docs documents of each, as far as training_rows takes them.
+
+    Documents whose hash lies below a share that is expected to give twice as
+    many are the only ones that are sorted.
+    """
+    given = docs.where("doc_id is not null and lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    counts = cut(given.groupBy("lang").count())
+    place = F.xxhash64("doc_id", F.lit(SEED))
+    share = checked(counts.select("lang", (F.lit(2.0 * train_docs) / F.col("count")).alias("_share")), 64)
+    few = given.join(share, "lang").where(F.shiftrightunsigned(place, 11).cast("double") / float(1 << 53) < F.col("_share")).select("doc_id", "lang").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    chosen = cut(few.withColumn("_n", rank).where(F.col("_n") <= train_docs).select("doc_id", "lang"))
+    rows = training_rows(docs, chosen, "lang", SEED, given="lang")
+    return TextModel.fit([text for text, _ in rows], [lang for _, lang in rows])
 
 
 def visible(html: str) -> str:
