@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked, cut
+from .common import BROADCAST_BYTES, checked, cut
 from .token_counts import VOCABULARY, token_counts
 
 WINDOW = 2048
 GRAIN = 16
 DEPTH = 3
-#: Ranks within a bin are dealt by so many groups, so no task sorts a whole bin.
-GROUPS = 64
+#: Texts of a bin are ranked in groups of about so many, so no task sorts a whole bin.
+GROUP_ROWS = 1 << 17
 
 
 @lru_cache(4)
@@ -145,22 +145,19 @@ def pack(counts: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int
     window.  Repeated rows are packed as often as they occur.
     """
     spark = counts.sparkSession
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(GROUPS)).cast("int")
-    binned = pieces(counts, window).withColumn("bin", F.ceil(F.col("n_tokens") / grain).cast("int")).withColumn("grp", group)
-    sizes = binned.groupBy("bin", "grp").count()
-    rows = sizes.collect()  # at most (window / grain) x GROUPS rows
+    binned = pieces(counts, window).withColumn("bin", F.ceil(F.col("n_tokens") / grain).cast("int"))
     histogram = np.zeros(window // grain, np.int64)
-    for r in rows:
-        histogram[r["bin"] - 1] += r["count"]
-    before: dict[int, int] = {}
-    offsets = []
-    for r in sorted(rows):
-        offsets.append((r["bin"], r["grp"], before.get(r["bin"], 0)))
-        before[r["bin"]] = before.get(r["bin"], 0) + r["count"]
+    for r in binned.groupBy("bin").count().collect():  # at most window / grain rows
+        histogram[r["bin"] - 1] = r["count"]
+    groups = np.maximum(1, -(-histogram // GROUP_ROWS)).tolist()
+    group = F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.get(F.lit(np.array(groups, np.int64)), F.col("bin") - 1)).cast("int")
+    binned = binned.withColumn("grp", group)
+    before = Window.partitionBy("bin").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)  # a row for each group
+    offsets = binned.groupBy("bin", "grp").count().select("bin", "grp", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    offsets = F.broadcast(offsets) if 24 * sum(groups) <= BROADCAST_BYTES else offsets
     dealt = spark.createDataFrame(deal(plan(histogram, depth)), "bin int, rank_from long, rank_to long, first_pack long, slot int")
-    offsets = spark.createDataFrame(offsets, "bin int, grp int, before long")
-    ranked = binned.withColumn("_in", F.row_number().over(Window.partitionBy("bin", "grp").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(checked(offsets, 24), ["bin", "grp"]).withColumn("rank", F.col("before") + F.col("_in"))
+    ranked = binned.withColumn("_in", F.row_number().over(Window.partitionBy("bin", "grp").orderBy("doc_id", "piece", "n_tokens")) - 1)
+    ranked = ranked.join(offsets, ["bin", "grp"]).withColumn("rank", F.col("before") + F.col("_in"))
     inside = (F.col("r.bin") == F.col("p.bin")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     placed = ranked.alias("r").join(checked(dealt, 40).alias("p"), inside)
     placed = placed.select((F.col("first_pack") + F.col("rank") - F.col("rank_from")).alias("pack_id"), "slot", "doc_id", "piece", "start", "n_tokens")
@@ -174,5 +171,10 @@ def pack_documents(docs: DataFrame, path: str = VOCABULARY, window: int = WINDOW
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: where each text's tokens lie in the training windows."""
+    """Pipeline stage, the last: where each text's tokens lie in the training windows (see pack).
+
+    Null and empty texts are in no window; repeated rows, as the copies that
+    mixing makes, are packed as often as they occur; rows without an id keep
+    none.  An empty table gives no window.
+    """
     return pack_documents(docs)
