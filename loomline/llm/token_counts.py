@@ -1,16 +1,18 @@
 """Token counts with a shortcut for whole tokens.
 
 Byte-pair encoding first splits text into pre-tokens.  For every string of the
-vocabulary that a pre-token can be, its merges are carried out once, offline: if
-they end in that one token, the shortcut is proven, and a pre-token that equals
-the string counts as one.  Only other pre-tokens are merged.
+vocabulary that a pre-token can be, its merges are carried out once, offline, on
+the driver: if they end in that one token, the shortcut is proven, and a
+pre-token that equals the string counts as one.  Only other pre-tokens are
+merged.  Vocabulary and proof are broadcast; their size is that of the
+vocabulary, so workers need no file of it.
 """
 
 from __future__ import annotations
 
 import base64
 import importlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +35,7 @@ LATIN = "\u0250"
 _FAR = 1 << 40
 
 
+@lru_cache(2)
 def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -73,9 +76,9 @@ class Counter:
     with the blank before it.  Other texts are split as a whole.
     """
 
-    def __init__(self, path: str, whole: frozenset[str]):
+    def __init__(self, rank: dict[bytes, int], whole: frozenset[str]):
         self.whole, self.find = whole, regex.compile(PATTERN).findall
-        self.core = tiktoken.Encoding("loomline", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})._core_bpe
+        self.core = tiktoken.Encoding("loomline", pat_str=PATTERN, mergeable_ranks=rank, special_tokens={})._core_bpe
         self.memory: dict[str, tuple[int, int]] = {}
         outer = self
 
@@ -114,20 +117,22 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def counter(path: str, whole: frozenset[str] | None = None) -> Counter:
-    """The worker's counter, which lives as long as its process."""
+def counter(path: str, load: Callable[[], tuple[dict[bytes, int], frozenset[str]]]) -> Counter:
+    """The worker's counter, which lives as long as its process; load gives vocabulary and proof."""
     own = importlib.import_module(__name__)._counters
     if path not in own:
-        own[path] = Counter(path, whole or proven(path))
+        own[path] = Counter(*load())
     return own[path]
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of every row; a null text has null tokens, an empty one 0. Repeated rows stay."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    known = spark.sparkContext.broadcast((ranks(path), proven(path)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c = counter(path, lambda: known.value)
         for batch, texts in slices(batches, "text"):
             n = np.fromiter(map(c.count, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, mask=np.asarray(batch.column("text").is_null()))], ["doc_id", "n_tokens"])
