@@ -80,11 +80,11 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for part in _parts(whole):
             ids = part.column("conv_id").to_pylist()
             buffer, starts = assemble(part.column("role"), part.column("text"))
-            new = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+            new = [i for i in range(len(ids)) if i == 0 or ids[i] is None or ids[i] != ids[i - 1]]
             runs = list(zip(new, [*new[1:], len(ids)]))
             done: list[bytes] = []
             keys, sizes = [], []
-            if is_open and ids[0] != open_key:
+            if is_open and (open_key is None or ids[0] != open_key):
                 keys.append(open_key)
                 done.append(b"".join(head))
                 sizes.append(turns)
@@ -131,19 +131,21 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     Turns with one number follow each other by role and then text; turns
     without a number come first.  A null role reads as 'unknown', a null text
-    as empty.  Rows without a conv_id belong to one conversation without id.
-    Contents are copied as they are.
+    as empty.  A row without a conv_id is a conversation of its own, without id.
+    Contents are copied as they are.  A conversation of over 2 GB, which no
+    string of Spark holds, is an error.
     """
     ship(turns.sparkSession)
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = rows.repartition(F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))).sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(_conversations, "conv_id long, text string, n_turns long, n_bytes long")
 
 
 CHAT_SQL = f"""
+with t as (select *, case when conv_id is null then row_number() over () end as own from conversations)
 select conv_id, string_agg('{HEAD}' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by turn nulls first, coalesce(role, 'unknown'), coalesce(text, '')) as text,
 count(*)::BIGINT as n_turns, sum(strlen('{HEAD}' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10)))::BIGINT as n_bytes
-from conversations group by conv_id"""
+from t group by conv_id, own"""
