@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, langid, linededup, mixing, packing, quality, simhash, token_counts, topk, toxicity
-from .common import read
+from .common import cut, read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,7 +56,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read(spark, sf_dir, "conversations"))
 
 
-_ALL = (op1_token_counts, op2_toxicity, op3_topk_search, op4_source_mixing, op5_language_id, op6_quality_rules, op7_simhash_dedup, op8_packing, op9_line_dedup, op10_chat_format)
+def line_dedup_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 keeps its state with: half the documents inserted, then the others, then a third deleted; the lines that each document left is the first owner of."""
+    docs = read(spark, sf_dir, "documents")
+    at = f"{shared_dir(spark).rstrip('/')}/line-dedup-{uuid.uuid4().hex}"
+    state = linededup.LineDedup(spark, at, linededup.shards_for(docs))
+    for odd in (0, 1):
+        state.insert(docs.where(F.col("doc_id") % 2 == odd))
+    state.delete(docs.where("doc_id % 3 = 0").select("doc_id"))
+    owned = state.table("counts").groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("first_lines"), F.sum("refs").alias("occurrences"))
+    owned = cut(owned)
+    state._fs().delete(state._hadoop(at), True)
+    return owned
+
+
+_ALL = (op1_token_counts, op2_toxicity, op3_topk_search, op4_source_mixing, op5_language_id, op6_quality_rules, op7_simhash_dedup, op8_packing, op9_line_dedup, op10_chat_format, line_dedup_incremental)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 LINE_DEDUP_SQL = r"""
@@ -66,4 +82,9 @@ g as (select doc_id, string_agg(line, chr(10) order by pos) filter (where stays)
 select d.doc_id, case when d.text is null then null else coalesce(g.text, '') end as text, d.lang, d.source, d.n_chars, coalesce(g.n, 0)::BIGINT as lines_removed
 from documents d left join g using (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_topk_search": topk.TOP_K_SQL, "op10_chat_format": chat.CHAT_SQL, "op4_source_mixing": mixing.replicate_sql(), "op9_line_dedup": LINE_DEDUP_SQL}
+INCREMENTAL_SQL = r"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where doc_id % 3 <> 0),
+k as (select trim(line, ' ' || chr(9) || chr(13)) as bare, min(doc_id) as doc_id, count(*) as n from l group by 1)
+select doc_id, count(*)::BIGINT as first_lines, sum(n)::BIGINT as occurrences from k where bare <> '' group by doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": topk.TOP_K_SQL, "op10_chat_format": chat.CHAT_SQL, "op4_source_mixing": mixing.replicate_sql(), "op9_line_dedup": LINE_DEDUP_SQL, "line_dedup_incremental": INCREMENTAL_SQL}
