@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..seq import RUNNING, Seq, Step
+from ..seq import BLOCK, RUNNING, Seq, Step
 from ..shipping import ship
 
 
@@ -37,29 +37,55 @@ def scan(kind: str | Callable[[Column, Column], Column], column: str, init: Colu
 
 
 def running_stat(kind: str, column: str, name: str = "x") -> Step:
-    """mean, variance or deviation of all elements so far; null for fewer than it takes.
+    """A statistic of all elements so far: mean, variance, deviation, sum, count, min, max; null for fewer than it takes.
 
-    In blocks they come from running sums, whose variance loses digits where it
-    is small against the mean.
+    Of a sequence in blocks, each block has its own count, mean and sum of
+    squares about it; those of the blocks before are merged pair by pair, so a
+    variance keeps its digits however large the mean is.
     """
-    plain = {"mean": F.avg, "variance": F.var_samp, "deviation": F.stddev_samp}[kind]
+    if kind in ("sum", "count", "min", "max"):
+        return Step(f"running_{kind}", lambda s: s.running(_x=(kind, F.col(column))).select(F.col("_x").alias(name)), stable=True)
+    least = {"mean": 0, "variance": 1, "deviation": 1}[kind]
 
     def apply(s: Seq) -> Seq:
         x = F.col(column).cast("double")
         s = s.blocked()
-        if not s.is_blocked:
-            value = plain(x).over(s.so_far())
-            enough = F.count(x).over(s.so_far()) > (0 if kind == "mean" else 1)
-            return s.select(F.when(enough, value).alias(name))
-        out = s.running(_n=("count", x), _s=("sum", x), _q=("sum", x * x))
-        n, total, squares = F.col("_n"), F.col("_s"), F.col("_q")
-        mean = F.when(n > 0, total / n)
-        variance = F.when(n > 1, F.greatest(F.lit(0.0), (squares - total * total / n) / (n - 1)))
-        return out.select({"mean": mean, "variance": variance, "deviation": F.sqrt(variance)}[kind].alias(name))
+        w = s.so_far()
+        n, mean, squares = F.count(x).over(w), F.avg(x).over(w), F.var_pop(x).over(w) * F.count(x).over(w)
+        df = s.df.withColumns({"_n": n, "_m": mean, "_q": squares})
+        if s.is_blocked:
+            totals = s.df.groupBy(BLOCK).agg(F.count(x).alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count(x)).alias("q"))
+            ship(s.df.sparkSession)
+            # a row for each block
+            carry = totals.repartition(1).sortWithinPartitions(BLOCK).mapInPandas(_moments_before, f"{BLOCK} int, _bn long, _bm double, _bq double")
+            df = df.join(F.broadcast(carry), BLOCK)
+            a, b = F.col("_bn"), F.col("_n")
+            gap = F.col("_m") - F.col("_bm")
+            both = F.struct((a + b).alias("n"), (F.col("_bm") + gap * b / (a + b)).alias("m"), (F.col("_q") + F.col("_bq") + gap * gap * a * b / (a + b)).alias("q"))
+            merged = F.when(a == 0, F.struct(b.alias("n"), F.col("_m").alias("m"), F.col("_q").alias("q"))).when(b == 0, F.struct(a.alias("n"), F.col("_bm").alias("m"), F.col("_bq").alias("q"))).otherwise(both)
+            df = df.withColumn("_s", merged).withColumns({"_n": F.col("_s.n"), "_m": F.col("_s.m"), "_q": F.col("_s.q")})
+        variance = F.col("_q") / (F.col("_n") - 1)
+        value = {"mean": F.col("_m"), "variance": variance, "deviation": F.sqrt(variance)}[kind]
+        return s.with_df(df).select(F.when(F.col("_n") > least, value).alias(name))
 
     return Step(f"running_{kind}", apply, stable=True)
 
 
+def _moments_before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the blocks before each: count, mean, and sum of squares about the mean."""
+    n, mean, squares = 0, 0.0, 0.0
+    for pdf in batches:
+        out = []
+        for block, k, m, q in pdf.itertuples(index=False):
+            out.append((block, n, mean, squares))
+            if k:
+                gap = m - mean
+                n += k
+                mean += gap * k / n
+                squares += q + gap * gap * k * (n - k) / n
+        yield pd.DataFrame(out, columns=[BLOCK, "_bn", "_bm", "_bq"])
+
+
 def adhoc(f: Callable, init: Callable[[], object], schema: str, onlast: Callable | None = None) -> Step:
     """Any stateful step in Python: f(state, row) -> (state, rows to give), and onlast(state) -> rows at the end.
 

@@ -55,18 +55,21 @@ def partition(size: int, step: int | None = None, flush: bool = False, column: s
 
 
 def consecutive(size: int, step: int = 1, column: str | None = None, name: str = "xs") -> Step:
-    """Structs _1.._size of neighbours; as many as there are full windows."""
+    """Structs _1.._size of neighbours; as many as there are full windows.
+
+    With step 1 each keeps the order of its first element; else the order is
+    `k`, as of partition.
+    """
     check_count(size, 1, "the size")
     check_count(step, 1, "the step")
 
     def apply(s: Seq) -> Seq:
-        if step == 1 and not s.blocked().is_blocked:
+        if step == 1:
             value = _value(s, column)
-            w = s.window()
-            fields = [F.lead(value, j).over(w).alias(f"_{j + 1}") if j else value.alias("_1") for j in range(size)]
-            there = F.lead(F.lit(True), size - 1).over(w) if size > 1 else F.lit(True)
-            df = s.df.select(*s.keys, F.struct(*fields).alias(name), there.alias("_full")).where("_full").drop("_full")
-            return s.with_df(df)
+            ahead = s.following(size - 1, "_next", value) if size > 1 else s.with_df(s.df.withColumn("_next", F.array().cast("array<int>")))
+            fields = [value.alias("_1"), *[F.get("_next", j).alias(f"_{j + 2}") for j in range(size - 1)]]
+            df = ahead.df.where(F.size("_next") == size - 1).select(*s.keys, F.struct(*fields).alias(name))
+            return ahead.with_df(df)
         chunks = partition(size, step, False, column, name)(s)
         return chunks.with_df(chunks.df.withColumn(name, F.struct(*[F.get(F.col(name), j).alias(f"_{j + 1}") for j in range(size)])))
 

@@ -6,9 +6,10 @@ out never depends on how rows lie in partitions.
 
 Running state (indices, scans, previous rows) uses one window per group.  A
 sequence without groups that Spark estimates at more than BLOCK_BYTES is divided
-into blocks by ranges of its first order column.  Every block has a window of
-its own, and what earlier blocks carry over comes from a table with one row for
-each block, so no task ever holds the whole sequence.
+into blocks by ranges of its order.  Every block has a window of its own, and
+what earlier blocks carry over comes from a table with one row for each block,
+so no task ever holds the whole sequence.  The cut points are found once, and
+go with the sequence through the steps that keep its order.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 #: A sequence without groups is worked on in blocks beyond this estimated size, and blocks are of about that size.
 BLOCK_BYTES = 256 << 20
 MOST_BLOCKS = 100_000
+#: So many places are drawn for each block, to cut between them.
+DRAWN = 20
 #: A small side is broadcast up to this many rows.
 BROADCAST_ROWS = 100_000
-_BLOCK = "_block"
+BLOCK = "_block"
 
 
 class EmptyResultError(ValueError):
@@ -69,6 +71,9 @@ class Seq:
     order: tuple[str, ...]
     by: tuple[str, ...] = ()
     block_bytes: int | None = field(default=None, compare=False)
+    #: Cut points between blocks, as JSON, and the order that they are of; empty for a sequence found to be small.
+    cuts: tuple[str, ...] | None = field(default=None, compare=False)
+    cut_by: tuple[str, ...] = field(default=(), compare=False)
 
     # -- columns
 
@@ -78,7 +83,7 @@ class Seq:
 
     @property
     def values(self) -> list[str]:
-        return [c for c in self.df.columns if c not in self.keys and c != _BLOCK]
+        return [c for c in self.df.columns if c not in self.keys and c != BLOCK]
 
     def with_df(self, df: DataFrame, order: Sequence[str] | None = None) -> Seq:
         return replace(self, df=df, order=tuple(order) if order else self.order)
@@ -99,33 +104,40 @@ class Seq:
 
     def blocked(self) -> Seq:
         """With a block for each row where the sequence is large; else as it is."""
-        if self.by or _BLOCK in self.df.columns:
+        if self.by or BLOCK in self.df.columns:
             return self
+        s = self
+        if s.cuts is None or s.cut_by != s.order[: len(s.cut_by)]:
+            s = replace(s, cuts=s._cuts(), cut_by=s.order)
+        if not s.cuts:
+            return s
+        kinds = {c: s.df.schema[c].dataType.simpleString() for c in s.cut_by}
+        return replace(s, df=s.df.withColumn(BLOCK, _locate(F.struct(*[F.col(c) for c in s.cut_by]), s.cuts, kinds)))
+
+    def _cuts(self) -> tuple[str, ...]:
+        """Places that divide the sequence into blocks of about the same size, of a sample of its order columns."""
         limit = self.block_bytes or BLOCK_BYTES
-        kind = self.df.schema[self.order[0]].dataType
-        if not isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
-            return self
         if estimated_bytes(self.df) <= limit:
-            return self
+            return ()
         # Catalyst's estimate is an upper bound, and of joins a wild one: count before dividing
-        n = min(MOST_BLOCKS, ceil(self.df.count() * self.df._jdf.schema().defaultSize() / limit))
+        rows = self.df.count()
+        n = min(MOST_BLOCKS, ceil(rows * self.df._jdf.schema().defaultSize() / limit))
         if n < 2:
-            return self
-        first = F.col(self.order[0])
-        shares = [i / n for i in range(1, n)]
-        number = first.cast("double") if isinstance(kind, T.NumericType) else F.unix_micros(first.cast("timestamp")).cast("double")
-        cuts = self.df.select(F.percentile_approx(number, shares, 10_000).alias("c")).first()["c"]
-        return self.with_df(self.df.withColumn(_BLOCK, _locate(number, sorted(set(cuts or [])))))
+            return ()
+        drawn = self.df.select(self.place().alias("p")).sample(min(1.0, DRAWN * n / rows), 1)
+        places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get(F.col("a"), (i * F.size("a") / n).cast("int"))))
+        cuts = drawn.agg(F.array_sort(F.collect_list("p")).alias("a")).select(F.transform(places, lambda p: F.to_json(p, _EXACT)).alias("c")).first()["c"]
+        return tuple(c for c in cuts or () if c is not None)
 
     @property
     def is_blocked(self) -> bool:
-        return _BLOCK in self.df.columns
+        return BLOCK in self.df.columns
 
     def unblocked(self) -> Seq:
-        return self.with_df(self.df.drop(_BLOCK))
+        return self.with_df(self.df.drop(BLOCK))
 
     def window(self) -> WindowSpec:
-        by = [*self.by, *([_BLOCK] if self.is_blocked else [])]
+        by = [*self.by, *([BLOCK] if self.is_blocked else [])]
         return (Window.partitionBy(*by) if by else Window).orderBy(*self.order)
 
     def so_far(self) -> WindowSpec:
@@ -139,10 +151,10 @@ class Seq:
         w = s.so_far()
         df = s.df.withColumns({name: RUNNING[kind].aggregate(x).over(w) for name, (kind, x) in columns.items()})
         if s.is_blocked:
-            totals = s.df.groupBy(_BLOCK).agg(*[RUNNING[kind].aggregate(x).alias(name) for name, (kind, x) in columns.items()])
-            before = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-            carry = totals.select(_BLOCK, *[RUNNING[kind].aggregate(F.col(name)).over(before).alias(f"_c_{name}") if kind != "count" else F.sum(name).over(before).alias(f"_c_{name}") for name, (kind, _) in columns.items()])
-            df = df.join(F.broadcast(carry), _BLOCK)
+            totals = s.df.groupBy(BLOCK).agg(*[RUNNING[kind].aggregate(x).alias(name) for name, (kind, x) in columns.items()])
+            before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+            carry = totals.select(BLOCK, *[RUNNING[kind].aggregate(F.col(name)).over(before).alias(f"_c_{name}") if kind != "count" else F.sum(name).over(before).alias(f"_c_{name}") for name, (kind, _) in columns.items()])
+            df = df.join(F.broadcast(carry), BLOCK)
             df = df.withColumns({name: RUNNING[kind].combine(F.col(f"_c_{name}"), F.col(name)) for name, (kind, _) in columns.items()}).drop(*[f"_c_{name}" for name in columns])
         return s.with_df(df).unblocked()
 
@@ -151,9 +163,9 @@ class Seq:
         s = self.blocked()
         df = s.df.withColumn(name, (F.row_number().over(s.window()) - 1).cast("long"))
         if s.is_blocked:
-            before = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-            sizes = s.df.groupBy(_BLOCK).count().select(_BLOCK, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-            df = df.join(F.broadcast(sizes), _BLOCK).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+            before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+            sizes = s.df.groupBy(BLOCK).count().select(BLOCK, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+            df = df.join(F.broadcast(sizes), BLOCK).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
         return s.with_df(df).unblocked()
 
     def previous(self, **columns: Column) -> Seq:
@@ -161,14 +173,29 @@ class Seq:
         s = self.blocked()
         df = s.df.withColumns({name: F.lag(x).over(s.window()) for name, x in columns.items()})
         if s.is_blocked:
-            last = s.df.groupBy(_BLOCK).agg(*[F.max_by(x, s.place()).alias(f"_l_{n}") for n, x in columns.items()])
-            w = Window.orderBy(_BLOCK)
-            carry = last.select(_BLOCK, *[F.lag(f"_l_{n}").over(w).alias(f"_l_{n}") for n in columns])
-            heads = s.df.groupBy(_BLOCK).agg(F.min(s.place()).alias("_head"))
-            df = df.join(F.broadcast(carry.join(heads, _BLOCK)), _BLOCK)
+            last = s.df.groupBy(BLOCK).agg(*[F.max_by(x, s.place()).alias(f"_l_{n}") for n, x in columns.items()])
+            w = Window.orderBy(BLOCK)
+            carry = last.select(BLOCK, *[F.lag(f"_l_{n}").over(w).alias(f"_l_{n}") for n in columns])
+            heads = s.df.groupBy(BLOCK).agg(F.min(s.place()).alias("_head"))
+            df = df.join(F.broadcast(carry.join(heads, BLOCK)), BLOCK)
             df = df.withColumns({n: F.when(s.place() == F.col("_head"), F.col(f"_l_{n}")).otherwise(F.col(n)) for n in columns}).drop("_head", *[f"_l_{n}" for n in columns])
         return s.with_df(df).unblocked()
 
+    def following(self, n: int, name: str, value: Column) -> Seq:
+        """With the values of the n rows after each, as an array that is shorter near the end; of 64 bits or not, they are whole values."""
+        s = self.blocked()
+        ahead = s.window().rowsBetween(1, n)
+        df = s.df.withColumn(name, F.collect_list(F.struct(value.alias("v"))).over(ahead))
+        if s.is_blocked:
+            # the first n of each block, and so of the blocks after it, as there may be shorter ones
+            heads = s.df.select(BLOCK, s.place().alias("_p"), F.struct(value.alias("v")).alias("_v"), F.row_number().over(s.window()).alias("_r")).where(F.col("_r") <= n)
+            heads = heads.groupBy(BLOCK).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda r: r["_v"]).alias("_h"))
+            after = F.flatten(F.collect_list("_h").over(Window.orderBy(BLOCK).rowsBetween(1, n)))  # a row for each block
+            carry = heads.select(BLOCK, F.slice(after, 1, n).alias("_a"))
+            df = df.join(F.broadcast(carry) if n * len(s.cuts) <= BROADCAST_ROWS else carry, BLOCK)
+            df = df.withColumn(name, F.slice(F.concat(name, "_a"), 1, n)).drop("_a")
+        return s.with_df(df.withColumn(name, F.transform(name, lambda r: r["v"]))).unblocked()
+
     def first_place(self, where: Column | None = None) -> tuple[DataFrame, str]:
         """The least place (column `_cut`) where the condition is true, for each group; one row without groups."""
         x = self.place() if where is None else F.when(where, self.place())
@@ -187,15 +214,25 @@ class Seq:
         return self.with_df(df.drop("_cut"))
 
 
-def _locate(x: Column, cuts: list[float]) -> Column:
-    """How many of the cuts lie below x, by two short searches."""
-    if not cuts:
-        return F.lit(0)
+#: How cut points are written: with all digits of a time, and no field left out.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def _locate(place: Column, cuts: Sequence[str], kinds: dict[str, str]) -> Column:
+    """How many of the cuts lie below the place, by two short searches; the optimizer makes each list of cuts one literal."""
+
+    def listed(some: Sequence[str]) -> Column:
+        kind = "array<struct<" + ",".join(f"`{c}`:{k}" for c, k in kinds.items()) + ">>"
+        return F.from_json(F.lit("[" + ",".join(some) + "]"), kind, _EXACT)
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda c: c < place))
+
     if len(cuts) <= 64:
-        return F.size(F.filter(F.lit(cuts), lambda c: c < x))
+        return below(listed(cuts))
     step = ceil(sqrt(len(cuts)))
-    coarse = F.size(F.filter(F.lit(cuts[step - 1 :: step]), lambda c: c < x))
-    return coarse * step + F.size(F.filter(F.slice(F.lit(cuts), coarse * step + 1, F.lit(step)), lambda c: c < x))
+    coarse = below(listed(cuts[step - 1 :: step]))
+    return coarse * step + below(F.slice(listed(cuts), coarse * step + 1, F.lit(step)))
 
 
 # -- steps
@@ -205,13 +242,17 @@ def _locate(x: Column, cuts: list[float]) -> Column:
 class Step:
     """A named function from Seq to Seq; steps compose from left to right with >>.
 
-    expansive: may give more than one row for one; stable: gives one for each.
+    expansive: may give more than one row for one; stable: gives one for each;
+    ends: the condition under which it ends a sequence early, as an aggregate
+    over what comes into it, for a step that can.
     """
 
     name: str
     apply: Callable[[Seq], Seq]
     expansive: bool = False
     stable: bool = False
+    ends: Callable[[Seq], Column] | None = None
+    parts: tuple[Step, ...] = ()
 
     def __call__(self, s: Seq) -> Seq:
         return self.apply(s)
@@ -230,7 +271,29 @@ def compose(*steps: Step) -> Step:
         return identity
     if len(real) == 1:
         return real[0]
-    return Step(" >> ".join(s.name for s in real), lambda seq: reduce(lambda x, s: s(x), real, seq), any(s.expansive for s in real), all(s.stable for s in real))
+    parts = tuple(p for s in real for p in s.parts or (s,))
+    return Step(" >> ".join(s.name for s in parts), lambda seq: reduce(lambda x, s: s(x), parts, seq), any(s.expansive for s in parts), all(s.stable for s in parts), None, parts)
+
+
+def ended(step: Step, s: Seq) -> DataFrame:
+    """(by..., terminated): whether a step, or any that it is composed of, ends the sequence early; a row for each group, or one."""
+    out = None
+    for part in step.parts or (step,):
+        if part.ends is not None:
+            own = (s.df.groupBy(*s.by) if s.by else s.df.groupBy()).agg(F.coalesce(part.ends(s), F.lit(False)).alias("terminated"))
+            out = own if out is None else out.unionByName(own)
+        s = part(s)
+    if out is None:
+        one = s.df.select(*s.by).distinct() if s.by else s.df.sparkSession.range(1).select()
+        return one.withColumn("terminated", F.lit(False))
+    return (out.groupBy(*s.by) if s.by else out.groupBy()).agg(F.bool_or("terminated").alias("terminated"))
+
+
+def free(name: str, taken: Sequence[str]) -> str:
+    """name, with as many underscores after it as it takes to be none of those taken."""
+    while name in taken:
+        name += "_"
+    return name
 
 
 def check_count(n: int, least: int, what: str) -> None:
