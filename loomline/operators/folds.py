@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import dataclasses
 import pickle
 from collections.abc import Callable, Iterator
@@ -12,16 +13,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.monoids import MONOIDS
-from ..seq import EmptyResultError, Seq, Step, identity
+from ..seq import EmptyResultError, Seq, Step, ended, identity
 from ..shipping import ship
 
-#: Stands for no initial value; "identity" asks for the operation's own.
+#: Stands for no initial value; "identity" asks for the operation's own, and "optional" for that if it has one.
 NONE = object()
 
 
+@dataclass(frozen=True)
+class Copied:
+    """An initial value of a Reducer that every task gets a copy of, so a fold may change it and it can be used again."""
+
+    value: object
+
+    def __call__(self) -> object:
+        return copy.deepcopy(self.value)
+
+
 def _start(kind: str, init) -> Column | None:
-    if init is NONE:
+    if init is NONE or (isinstance(init, str) and init == "optional" and MONOIDS[kind].identity is None):
         return None
+    if isinstance(init, str) and init == "optional":
+        init = "identity"
+    if callable(init) and not isinstance(init, Column):
+        init = init()
     return init if isinstance(init, Column) else F.lit(MONOIDS[kind].start() if init == "identity" else init)
 
 
@@ -47,12 +62,17 @@ def fold_value(s: Seq, kind: str, x: Column, init=NONE):
     return row["value"]
 
 
-def transduce(step: Step, kind: str, x: Column, s: Seq, init=NONE, stop: Column | None = None) -> DataFrame:
-    """A step and then a fold, in one plan; `stop`, a condition on the input, tells in `terminated` whether it ended early."""
-    out = fold(step(s), kind, x, init)
-    if stop is None:
-        return out.withColumn("terminated", F.lit(False))
-    return out.crossJoin(F.broadcast(s.df.agg(F.coalesce(F.bool_or(stop), F.lit(False)).alias("terminated"))))  # one row
+def transduce(step: Step, kind: str, x: Column, s: Seq, init=NONE) -> DataFrame:
+    """(by..., value, n, terminated): a step and then a fold, in one plan, and whether the step ended it early."""
+    out, stopped = fold(step(s), kind, x, init), ended(step, s)
+    if s.by:
+        return out.join(stopped, list(s.by))
+    return out.crossJoin(F.broadcast(stopped))  # one row
+
+
+def if_unreduced(result: DataFrame, f: Callable[[Column], Column], name: str = "value") -> DataFrame:
+    """The result of transduce, with f of it where it was not ended early."""
+    return result.withColumn(name, F.when(F.col("terminated"), F.col(name)).otherwise(f(F.col(name))))
 
 
 def foldl(s: Seq, f: Callable[[Column, Column], Column], x: Column, init: Column | None = None, name: str = "value") -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..seq import BROADCAST_ROWS, Seq, Step, estimated_bytes
+from ..seq import Seq, Step, estimated_bytes
+from ..shipping import ship
+
+#: Values of an iterated function that a task computes from one that is known.
+STRIDE = 1024
 
 
 def small(df: DataFrame, limit: int = 16 << 20) -> DataFrame:
@@ -26,6 +32,31 @@ def with_values(**exprs: Column) -> Step:
     return Step("with_values", lambda s: s.with_df(s.df.withColumns(exprs)), stable=True)
 
 
+def map_pandas(f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> Step:
+    """Replace the values by what f gives for frames of them, row for row: for what Column expressions can't say.
+
+    Frames come as Arrow batches in no order; f must give as many rows as it is
+    given, in the columns of `schema`.
+    """
+
+    def apply(s: Seq) -> Seq:
+        ship(s.df.sparkSession)
+        keys, values = list(s.keys), s.values
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = f(pdf[values])
+                if len(out) != len(pdf):
+                    raise ValueError(f"{len(out)} rows for {len(pdf)}")
+                yield pd.concat([pdf[keys].reset_index(drop=True), out.reset_index(drop=True)], axis=1)
+
+        types = dict(s.df.dtypes)
+        head = ", ".join(f"`{k}` {types[k]}" for k in keys)
+        return s.with_df(s.df.select(*keys, *values).mapInPandas(work, f"{head}, {schema}"))
+
+    return Step("map_pandas", apply, stable=True)
+
+
 def map_splat(column: str, f: Callable[..., Column], name: str = "x") -> Step:
     """f of the fields of a struct."""
 
@@ -93,11 +124,18 @@ def flag_first(name: str = "is_first") -> Step:
 
 
 def enumerate_(start=1, step=1, name: str = "n") -> Step:
-    """start + i * step beside the values; numbers, or a date or timestamp column and an interval."""
+    """start + i * step beside the values: numbers, or a date or time and an interval.
+
+    The result is of the start's type. A date thus counts in whole days or
+    months; for parts of days start from a timestamp.
+    """
 
     def apply(s: Seq) -> Seq:
         one = s.indexed("_i")
-        return one.with_df(one.df.withColumn(name, _count(F.col("_i"), start, step)).drop("_i"))
+        a, b = (x if isinstance(x, Column) else F.lit(x) for x in (start, step))
+        kind = s.df.select(a.alias("a")).schema["a"].dataType
+        n = a + b * F.col("_i")
+        return one.with_df(one.df.withColumn(name, n.cast(kind) if isinstance(kind, T.DateType) else n).drop("_i"))
 
     return Step("enumerate", apply, stable=True)
 
@@ -107,29 +145,36 @@ def count(start=1, step=1, name: str = "n") -> Step:
     return Step("count", lambda s: enumerate_(start, step, name)(s).select(F.col(name)), stable=True)
 
 
-def _count(i: Column, start, step) -> Column:
-    a, b = (x if isinstance(x, Column) else F.lit(x) for x in (start, step))
-    return a + b * i
-
-
 def iterated(f: Callable[[Column], Column], init: Column, name: str = "x", closed: Callable[[Column], Column] | None = None) -> Step:
     """init, f(init), f(f(init)), ... for the elements in turn, whose values are dropped.
 
-    With closed, the i-th value is closed(i).  Else the values are computed once
-    over the largest index and looked up, up to BROADCAST_ROWS of them.
+    With closed, the i-th value is closed(i).  Else one task goes through the
+    values, as it must, but keeps only every STRIDE-th; from each of these a row
+    makes those up to the next, and elements are joined with them by index.
     """
 
     def apply(s: Seq) -> Seq:
         one = s.indexed("_i")
         if closed is not None:
             return one.select(closed(F.col("_i")).alias(name))
-        size = F.max("_i").alias("_n")
-        top = one.df.agg(size)
-        if top.where(F.col("_n") >= BROADCAST_ROWS).head(1):
-            raise ValueError(f"iterated without a closed form takes at most {BROADCAST_ROWS} elements of a sequence")
-        grow = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1))), F.array(init), lambda a, _: F.concat(a, F.array(f(F.element_at(a, -1)))))
-        values = top.where("_n is not null").select(F.posexplode(grow).alias("_k", "_v"))
-        df = one.df.join(F.broadcast(values), F.col("_i") == F.col("_k"))  # at most BROADCAST_ROWS
+
+        def again(x: Column, n: int) -> Column:
+            return F.aggregate(F.sequence(F.lit(1), F.lit(n)), x, lambda a, _: f(a))
+
+        def longer(a: Column, next_: Callable[[Column], Column]) -> Column:
+            return F.concat(a, F.array(next_(F.element_at(a, -1))))
+
+        def numbers(first: int, last: Column) -> Column:
+            return F.when(last >= first, F.sequence(F.lit(first), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+        top = one.df.agg(F.max("_i").alias("_m")).where("_m is not null")
+        firsts = F.aggregate(numbers(1, F.floor(F.col("_m") / STRIDE)), F.array(init), lambda a, _: longer(a, lambda x: again(x, STRIDE)))
+        starts = top.select("_m", F.posexplode(firsts).alias("_s", "_x")).repartition("_s")
+        place = F.col("_s").cast("long") * STRIDE
+        # no value is computed that no element has, as it might not be possible
+        values = F.aggregate(numbers(2, F.least(F.lit(STRIDE), F.col("_m") - place + 1)), F.array("_x"), lambda a, _: longer(a, f))
+        table = starts.select(place.alias("_at"), F.posexplode(values).alias("_p", "_v")).select((F.col("_at") + F.col("_p")).alias("_k"), "_v")
+        df = one.df.join(table, F.col("_i") == F.col("_k"))
         return one.with_df(df).select(F.col("_v").alias(name))
 
     return Step("iterated", apply, stable=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..seq import BROADCAST_ROWS, Seq, Step, check_count
+from ..seq import BROADCAST_ROWS, Seq, Step, check_count, ended
 
 
 def _ends(s: Seq, n: int, last: bool) -> Seq:
@@ -21,7 +21,7 @@ def _ends(s: Seq, n: int, last: bool) -> Seq:
 
 def take(n: int) -> Step:
     check_count(n, 0, "the number of elements")
-    return Step("take", lambda s: _ends(s, n, False))
+    return Step("take", lambda s: _ends(s, n, False), ends=lambda s: F.count("*") >= n)
 
 
 def take_last(n: int) -> Step:
@@ -77,7 +77,7 @@ def _not(predicate: Column) -> Column:
 
 def take_while(predicate: Column) -> Step:
     """Up to the first element for which it isn't true."""
-    return Step("take_while", lambda s: s.against_cut(_not(predicate), lambda at, cut: cut.isNull() | (at < cut)))
+    return Step("take_while", lambda s: s.against_cut(_not(predicate), lambda at, cut: cut.isNull() | (at < cut)), ends=lambda s: F.bool_or(_not(predicate)))
 
 
 def drop_while(predicate: Column) -> Step:
@@ -86,14 +86,14 @@ def drop_while(predicate: Column) -> Step:
 
 def reduce_if(predicate: Column) -> Step:
     """Up to the first element for which it is true, that one too."""
-    return Step("reduce_if", lambda s: s.against_cut(predicate, lambda at, cut: cut.isNull() | (at <= cut)))
+    return Step("reduce_if", lambda s: s.against_cut(predicate, lambda at, cut: cut.isNull() | (at <= cut)), ends=lambda s: F.bool_or(predicate))
 
 
 def abort_if(predicate: Column) -> Step:
     """Up to before the first element for which it is true."""
-    return Step("abort_if", lambda s: s.against_cut(predicate, lambda at, cut: cut.isNull() | (at < cut)))
+    return Step("abort_if", lambda s: s.against_cut(predicate, lambda at, cut: cut.isNull() | (at < cut)), ends=lambda s: F.bool_or(predicate))
 
 
-def terminated(s: Seq, predicate: Column) -> bool:
-    """Whether the condition ends the sequence early."""
-    return bool(s.df.where(predicate).head(1))
+def terminated(step: Step, s: Seq) -> bool:
+    """Whether the step ends the sequence, or one of its groups, early."""
+    return bool(ended(step, s).where("terminated").head(1))

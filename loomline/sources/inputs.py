@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..seq import Seq
 from ..shipping import ship
@@ -118,6 +121,43 @@ def generated(spark: SparkSession, f: Callable[[int], Iterator[tuple]], parts: i
     return Seq(rows.mapInPandas(work, f"part long, pos long, {schema}"), ("part", "pos"))
 
 
+class RangeSource(DataSource):
+    """A custom source as Spark's Data Source API has it: the numbers from `start` up to before `end` by `step`, in `parts` parts.
+
+    Another kind of source is another class like this; register_source makes
+    it a format of the session.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "loomline_range"
+
+    def schema(self) -> str:
+        return "ord long, x long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RangeReader(*(int(self.options.get(k, d)) for k, d in (("start", 0), ("end", 0), ("step", 1), ("parts", 1))))
+
+
+class _RangeReader(DataSourceReader):
+    def __init__(self, start: int, end: int, step: int, parts: int):
+        self.range, self.parts = range(start, end, step), parts
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(p) for p in range(self.parts)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        n = len(self.range)
+        for at in range(n * partition.value // self.parts, n * (partition.value + 1) // self.parts, 1 << 16):
+            ord_ = np.arange(at, min(at + (1 << 16), n * (partition.value + 1) // self.parts))
+            yield pa.RecordBatch.from_arrays([pa.array(ord_), pa.array(self.range.start + ord_ * self.range.step)], ["ord", "x"])
+
+
+def register_source(spark: SparkSession, source: type[DataSource]) -> None:
+    ship(spark)
+    spark.dataSource.register(source)
+
+
 def comprehend(s: Seq, *, where: object = None, flatten: str | None = None, **exprs) -> Seq:
     """What a comprehension says: elements where ..., perhaps flattened, mapped to these values."""
     from ..operators.filters import filter_
