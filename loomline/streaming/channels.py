@@ -56,30 +56,45 @@ def keyed(df: DataFrame, key: str, order: list[str], f: Callable, init: tuple, o
     return df.groupBy(key).applyInPandasWithState(work, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def _frames(df: DataFrame, key: str, order: list[str], f: Callable, init: tuple, output: str, state: str) -> DataFrame:
+    """As keyed, for a machine that takes the rows of a micro-batch as one sorted frame: f(state, frame) -> (state, frame)."""
+    ship(df.sparkSession)
+
+    def work(own: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable").reset_index(drop=True)
+        now, out = f(held.get if held.exists else init, rows)
+        held.update(now)
+        yield out
+
+    return df.groupBy(key).applyInPandasWithState(work, output, state, "append", GroupStateTimeout.NoTimeout)
+
+
 def dedupe(df: DataFrame, key: str, order: list[str], column: str) -> DataFrame:
-    """For each key, rows whose value differs from the one before it."""
-    at = df.columns.index(column)
+    """For each key, rows whose value differs from the one before it (nulls are equal)."""
     kind = dict(df.dtypes)[column]
 
-    def f(state, row):
+    def f(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         seen, last = state
-        v = row[at]
-        return (True, v), ([] if seen and (v == last or (pd.isna(v) and last is None)) else [tuple(row)])
+        x = rows[column]
+        before = x.shift()
+        same = (x == before) | (x.isna() & before.isna())
+        first, end = x.iloc[0], x.iloc[-1]
+        same.iloc[0] = seen and bool(first == last if pd.notna(first) else last is None)
+        return (True, None if pd.isna(end) else getattr(end, "item", lambda: end)()), rows[~same]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return keyed(df, key, order, f, (False, None), schema, f"seen boolean, last {kind}")
+    return _frames(df, key, order, f, (False, None), schema, f"seen boolean, last {kind}")
 
 
 def running_sum(df: DataFrame, key: str, order: list[str], column: str) -> DataFrame:
-    """Each row with the sum of its key's values so far, in `running`."""
-    at = df.columns.index(column)
+    """Each row with the sum of its key's values so far, in `running`; nulls add nothing."""
 
-    def f(state, row):
-        total = state[0] + (0.0 if pd.isna(row[at]) else float(row[at]))
-        return (total,), [(*row, total)]
+    def f(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        sums = rows[column].astype(float).fillna(0.0).cumsum() + state[0]
+        return (float(sums.iloc[-1]),), rows.assign(running=sums)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return keyed(df, key, order, f, (0.0,), schema + ", running double", "total double")
+    return _frames(df, key, order, f, (0.0,), schema + ", running double", "total double")
 
 
 def unique(df: DataFrame, *columns: str, time: str | None = None, delay: str = "1 hour") -> DataFrame:
