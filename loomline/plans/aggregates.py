@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.monoids import reducing
 from ..operators.filters import filter_, unique
-from ..operators.folds import Reducer, fold, foldl, product, reduce_python, tee, tee_started, to_dict, to_set, transduce
+from ..operators.folds import Reducer, fold, foldl, if_unreduced, product, reduce_python, tee, tee_started, to_dict, to_set, transduce
 from ..operators.grouping import get_group, group_by, group_running, group_until, per_group
 from ..operators.projections import map_, with_values
 from ..operators.slices import reduce_if
@@ -87,8 +87,16 @@ def left_fold(spark, sf):
 
 @query("select sum(user_id)::BIGINT as value, count(*) as n, true as terminated from events where event_id <= (select min(event_id) from events where event_type = 'error')")
 def transduce_until_error(spark, sf):
-    stop = c("event_type") == "error"
-    return transduce(reduce_if(stop), "sum", c("user_id"), load(spark, sf, "events"), stop=stop)
+    return transduce(reduce_if(c("event_type") == "error"), "sum", c("user_id"), load(spark, sf, "events"))
+
+
+@query("""with e as (select *, min(event_id) filter (where event_type = 'error' and value > 95) over (partition by user_id) as m from events)
+select user_id, case when bool_or(m is not null) then sum(event_id) filter (where m is null or event_id <= m) else -sum(event_id) end::BIGINT as value, bool_or(m is not null) as terminated from e group by user_id""")
+def if_unreduced_per_user(spark, sf):
+    """Sums up to the first severe error of each user; negative for those that have none."""
+    s = with_values(id=c("event_id") + 0)(load(spark, sf, "events")).grouped("user_id")
+    out = transduce(reduce_if((c("event_type") == "error") & (c("value") > 95)), "sum", c("id"), s)
+    return if_unreduced(out, lambda x: -x).select("user_id", "value", "terminated")
 
 
 @query("select max(n)::BIGINT as longest, arg_min(start, (-n, start))::BIGINT as start from (select min(event_id) as start, count(*) as n from (select *, event_id - row_number() over (partition by event_type order by event_id) as g from events) group by event_type, g)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import filter_
 from ..operators.projections import map_, with_values
-from ..sources.sinks import append, append_unordered, append_widen, map_into, set_input, unordered, with_progress, write
+from ..shared import shared_dir
+from ..sources.sinks import append, append_unordered, append_widen, foreach, map_into, set_input, unordered, with_progress, write
 from ..streaming import channels
 from .registry import load, query
 
@@ -18,9 +18,8 @@ c = F.col
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder beside the session's checkpoints, which all executors share; a temporary one where there is no setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="loomline-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder beside the session's checkpoints, which all executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 @query("select row_number() over (order by b, k) - 1 as ord, name from (select 0 as b, n_nationkey as k, n_name as name from nation union all select 1, r_regionkey, r_name from region)")
@@ -51,6 +50,28 @@ def copy_to_files(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("select r_regionkey, r_name as value from region")
+def overwritten_files(spark, sf):
+    """A folder whose contents are replaced by another sequence's."""
+    path = scratch(spark)
+    write(load(spark, sf, "nation").select(c("n_name").alias("value")), path)
+    write(load(spark, sf, "region").select(c("r_name").alias("value")), path, mode="overwrite")
+    return spark.read.parquet(path)
+
+
+@query("select count(*)::BIGINT as calls, sum(event_id)::BIGINT as total from events where event_type = 'error'")
+def foreach_effect(spark, sf):
+    """A function called for each element in the tasks; what it does is seen in accumulators."""
+    calls, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def effect(row) -> None:
+        calls.add(1)
+        total.add(row.id)
+
+    foreach(load(spark, sf, "events"), effect, filter_(c("event_type") == "error") >> map_(id=c("event_id")))
+    return spark.createDataFrame([(calls.value, total.value)], "calls long, total long")
+
+
 @query("select event_type, value from events where value > 50")
 def channel_unordered(spark, sf):
     return unordered(load(spark, sf, "events"), filter_(c("value") > 50)).select("event_type", "value")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.projections import small
+from ..streaming.channels import windowed
 from .registry import load, query
 
 c = F.col
@@ -69,4 +70,5 @@ def top_per_brand(spark, sf):
 
 @query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as start, event_type, count(*) as n from events group by 1, 2")
 def hourly_windows(spark, sf):
-    return load(spark, sf, "events").df.groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH").alias("start"), "event_type").agg(F.count("*").alias("n"))
+    e = load(spark, sf, "events").df.withColumn("ts", c("ts").cast("timestamp"))
+    return windowed(e, "ts", "1 hour", "1 hour", "event_type", n=F.count("*")).select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import statistics
+from ..functions.monoids import reducing
 from ..operators.filters import filter_, not_null
+from ..operators.flatten import map_cat
 from ..operators.folds import foldl, tee
 from ..operators.grouping import group_by, per_group
 from ..operators.projections import enumerate_, map_, with_values
@@ -18,8 +21,8 @@ c = F.col
 
 @query(r"""select word, count(*) as n from (select unnest(regexp_split_to_array(lower(text), '\s+')) as word from documents) where word <> '' group by word""")
 def word_count(spark, sf):
-    words = load(spark, sf, "documents", "text").df.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    words = map_cat(F.split(F.lower("text"), r"\s+"), "word") >> filter_(c("word") != "")
+    return group_by(words(load(spark, sf, "documents", "text")), "word", n=F.count("*"))
 
 
 @query("select substr((p_retailprice)::INT::VARCHAR, 1, 1) as digit, count(*) as n from part group by 1")
@@ -99,6 +102,33 @@ def transposed_sum(spark, sf):
     return rows.groupBy("pos").agg(F.round(F.sum(c("x").cast("double")), 4).alias("total"))
 
 
+@query("select count(*)::BIGINT as n, round(avg(value), 6) as mean, round(var_samp(value), 4) as variance from events")
+def merged_statistics(spark, sf):
+    """States of each type and user, merged: what could also be stored between."""
+    states = group_by(load(spark, sf, "events"), "event_type", "user_id", state=statistics.moments(c("value")))
+    all_ = states.agg(statistics.merged_moments(c("state")).alias("s"))
+    return all_.select("s.n", F.round(statistics.mean(c("s")), 6).alias("mean"), F.round(statistics.variance(c("s")), 4).alias("variance"))
+
+
+@query("select user_id, count(*) filter (where value < 10) as below, count(*) filter (where value >= 10 and value < 50) as middle, count(*) filter (where value >= 50) as above from events group by user_id")
+def histograms(spark, sf):
+    bins = group_by(load(spark, sf, "events"), "user_id", "event_type", bins=statistics.histogram(c("value"), [10, 50]))
+    whole = bins.groupBy("user_id").agg(statistics.merged_histogram(c("bins"), 3).alias("b"))
+    return whole.select("user_id", *[F.get("b", i).alias(n) for i, n in enumerate(("below", "middle", "above"))])
+
+
+@query("select true as close, true as near")
+def merged_sketches(spark, sf):
+    """Sketches of each type, merged: whether the median and the number of users come out within three percent."""
+    e = load(spark, sf, "events")
+    own = group_by(e, "event_type", q=statistics.quantile_sketch(c("value")), u=statistics.distinct_sketch(c("user_id")))
+    both = own.agg(statistics.merged_quantiles(c("q")).alias("q"), statistics.merged_distinct(c("u")).alias("u"))
+    median, exact = statistics.quantile(c("q"), 0.5), tee(e, users=F.countDistinct("user_id"))
+    rank = e.df.crossJoin(F.broadcast(both.select(median.alias("m")))).agg(F.avg((c("value") <= c("m")).cast("int")).alias("share"))  # one row
+    rows = both.crossJoin(F.broadcast(exact)).crossJoin(F.broadcast(rank))  # a row each
+    return rows.select((F.abs(c("share") - 0.5) < 0.03).alias("close"), (F.abs(c("u") / c("users") - 1) < 0.03).alias("near"))
+
+
 @query("select p as x from (select range as p from range(2, 400)) a where not exists (select 1 from range(2, 20) b(d) where d * d <= p and p % d = 0)")
 def primes(spark, sf):
     """A sieve whose state grows as it goes: sequential by nature, so in one Python machine."""
@@ -135,4 +165,4 @@ def enumerate_in_groups(spark, sf):
 @query("select o_orderpriority, list_aggregate(list(k order by o_orderkey), 'last')::BIGINT as last_status, count(*) as n from (select *, o_orderkey % 10 as k from orders) group by 1")
 def last_of_priority(spark, sf):
     s = load(spark, sf, "orders")
-    return group_by(s, "o_orderpriority", last_status=F.max_by(c("o_orderkey") % 10, s.place()), n=F.count("*"))
+    return group_by(s, "o_orderpriority", last_status=reducing("right", c("o_orderkey") % 10, s), n=F.count("*"))

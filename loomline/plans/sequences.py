@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import dedupe, filter_, keep_something, not_null, of_type, unique
-from ..operators.flatten import cat, map_cat, tcat
+from ..operators.flatten import cat, map_cat, map_table, tcat
 from ..operators.grouping import per_group
-from ..operators.projections import broadcasting, count, enumerate_, flag_first, get_index, inject, interpose, iterated, map_, map_splat, replace, set_index, with_values
+from ..operators.projections import broadcasting, count, enumerate_, flag_first, get_index, inject, interpose, iterated, map_, map_pandas, map_splat, replace, set_index, with_values
 from ..operators.scans import adhoc, running_stat, scan, scan_emit, zip_, zip_source
 from ..operators.slices import abort_if, drop, drop_last, drop_while, reduce_if, take, take_last, take_nth, take_while
 from ..operators.windows import consecutive, partition, partition_by, ranges_by, reduce_partition_by, reduce_split_by, split_by, split_string
 from ..seq import compose, identity
-from ..sources.inputs import as_seq, blocks, comprehend, concat, from_array, generated, product, zipped
+from ..sources.inputs import RangeSource, as_seq, blocks, comprehend, concat, from_array, generated, product, register_source, zipped
 from .registry import load, query
 
 c = F.col
@@ -61,8 +61,8 @@ def get_index_by_table(spark, sf):
 
 @query("select event_id, list_extract(['a', 'b', 'c'], (user_id % 4)::INT) as x from events")
 def get_index_in_list(spark, sf):
-    s = map_(k=c("user_id") % 4)(events(spark, sf))
-    return map_(x=F.when(c("k") > 0, F.get(F.lit(["a", "b", "c"]), (c("k") - 1).cast("int"))))(s).df
+    s = map_(k=F.nullif(c("user_id") % 4, F.lit(0)))(events(spark, sf))  # places count from 1
+    return get_index("k", ["a", "b", "c"], inbounds=True)(s).df
 
 
 @query("select n_nationkey as index, coalesce(v, 0)::BIGINT as value from nation left join (select c_nationkey, arg_max(c_custkey, c_custkey) as v from customer group by 1) on n_nationkey = c_nationkey")
@@ -89,8 +89,27 @@ def count_clicks(spark, sf):
 
 @query("select event_id, strftime(date '2024-01-01' + (row_number() over (order by event_id) - 1)::INT, '%Y-%m-%d') as day from events where event_id < 500")
 def count_days(spark, sf):
-    s = filter_(c("event_id") < 500)(events(spark, sf)).indexed("_i")
-    return map_(day=F.date_add(F.lit("2024-01-01").cast("date"), c("_i").cast("int")).cast("string"))(s).df
+    days = filter_(c("event_id") < 500) >> count(F.lit("2024-01-01").cast("date"), F.expr("interval 1 day"), "day")
+    return (days >> map_(day=c("day").cast("string")))(events(spark, sf)).df
+
+
+@query("select n_nationkey, strftime(date '2024-01-31' + to_months((row_number() over (order by n_nationkey) - 1)::INT), '%Y-%m-%d') as month from nation")
+def enumerate_months(spark, sf):
+    months = count(F.lit("2024-01-31").cast("date"), F.expr("interval 1 month"), "month")
+    return (months >> map_(month=c("month").cast("string")))(load(spark, sf, "nation")).df
+
+
+@query("select event_id, user_id + value as x from events")
+def map_vectorized(spark, sf):
+    """A function of whole columns in Python, in Arrow batches."""
+    return map_pandas(lambda pdf: (pdf["user_id"] + pdf["value"]).to_frame("x"), "x double")(events(spark, sf)).df
+
+
+@query("with recursive t as (select 0::BIGINT as i, 1::BIGINT as x union all select i + 1, (x * 48271) % 2147483647 from t where i < 2999) select event_id, x from (select event_id, row_number() over (order by event_id) - 1 as i from events) join t using (i)")
+def iterated_generator(spark, sf):
+    """A function of which no closed form is used, over several strides."""
+    s = take(3000)(events(spark, sf, "user_id"))
+    return iterated(lambda x: (x * 48271) % 2147483647, F.lit(1).cast("long"))(s).df
 
 
 @query("select r_regionkey, (2 ** (row_number() over (order by r_regionkey) - 1))::BIGINT as x from region")
@@ -249,6 +268,19 @@ def tcat_embeddings(spark, sf):
     return tcat("x", 8)(s).df.select("vec_id", "pos", F.round("x", 6).alias("x"))
 
 
+@F.udtf(returnType="place int, digit string")
+class _Digits:
+    def eval(self, x: int):
+        for i, digit in enumerate(str(x)):
+            yield i, digit
+
+
+@query("select c_custkey, (p - 1)::INT as pos, substr(c_custkey::VARCHAR, p, 1) as digit from customer, range(1, 20) r(p) where p <= length(c_custkey::VARCHAR)")
+def table_function(spark, sf):
+    """A function in Python that gives a table for each element."""
+    return map_table(_Digits, c("key"))(map_(key=c("c_custkey"))(load(spark, sf, "customer"))).df
+
+
 # -- windows
 
 
@@ -373,6 +405,12 @@ def running_mean(spark, sf):
     return running_stat("mean", "value", "m")(events(spark, sf)).indexed().df.select("event_id", F.round(c("m") * (c("i") + 1), 2).alias("x"))
 
 
+@query("select event_id, case when row_number() over w > 1 then round(var_samp(value) over w * 1000) end as x, max(value) over w as top from events window w as (order by event_id)")
+def running_variance(spark, sf):
+    both = zip_(x=running_stat("variance", "value"), top=running_stat("max", "value"))
+    return both(events(spark, sf)).df.select("event_id", F.round(c("x") * 1000).alias("x"), "top")
+
+
 @query("select event_id, user_id, case when count(*) over w > 1 then round(var_samp(value) over w * count(*) over w * (count(*) over w - 1) + 0.00003, 2) end as x from events window w as (partition by user_id order by event_id)")
 def welford_per_user(spark, sf):
     """The running variance; times n (n - 1), so values of two places give no ties to round."""
@@ -443,6 +481,12 @@ def range_source(spark, sf):
     return as_seq(spark, range(5, 205, 2)).df
 
 
+@query("select range as ord, 7 * range - 100 as x from range(5000)")
+def custom_source(spark, sf):
+    register_source(spark, RangeSource)
+    return spark.read.format(RangeSource.name()).options(start="-100", end="34900", step="7", parts="4").load()
+
+
 @query("select n_nationkey, n_name || '!' as x from nation where n_regionkey > 1")
 def comprehension(spark, sf):
     return comprehend(load(spark, sf, "nation"), where=c("n_regionkey") > 1, x=F.concat("n_name", F.lit("!"))).df
