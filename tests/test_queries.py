@@ -1,6 +1,10 @@
 """Every query of the library against its SQL in DuckDB, and plans that must hold at scale."""
 
 import math
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -8,6 +12,7 @@ import pytest
 from loomline.plans import aggregates, effects, extras, patterns, sequences  # noqa: F401
 from loomline.plans.registry import QUERIES, SQL
 
+ROOT = Path(__file__).resolve().parents[1]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -54,15 +59,26 @@ def test_slices_need_no_window(spark, sf):
         assert "Window" not in _plan(QUERIES[name](spark, sf)), name
 
 
-def test_library_stands_without_the_subpackage(tmp_path):
-    """What remains when the corpus operators are taken away still imports."""
-    import shutil
-    import subprocess
-    import sys
-    from pathlib import Path
-
-    root = Path(__file__).resolve().parents[1]
-    shutil.copytree(root / "loomline", tmp_path / "loomline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'pricing_summary' in q and not any(n.startswith('op1_') for n in q); assert set(e.oracle_sql()) <= set(q)"
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_library_stands_without_the_subpackage(tmp_path, pipeline):
+    """What remains when the corpus operators are taken away, with their pipeline or before it, still imports."""
+    _copy(tmp_path, "llm", "__pycache__")
+    if pipeline and (ROOT / "corpus_pipeline.py").exists():
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pricing_summary' in q and not any(n.startswith('op1_') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_a_missing_dependency_is_not_hidden(tmp_path):
+    if not (ROOT / "loomline" / "llm").exists():
+        pytest.skip("the subpackage is not there")
+    _copy(tmp_path, "__pycache__")
+    shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert out.returncode and "xxhash" in out.stderr
+
+
+def _copy(to, *without):
+    shutil.copytree(ROOT / "loomline", to / "loomline", ignore=shutil.ignore_patterns(*without))
+    shutil.copy(ROOT / "__spark_entry__.py", to)
