@@ -39,7 +39,7 @@ SEED = 7
 #: Texts are read in slices of about so many characters.
 CHARS = 1 << 20
 #: Words whose hashes a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1 << 17
 #: Rows of the tables, (fingerprints x TABLES), for a task; and so many of them it compares together, or one bucket if that has more.
 TASK_ROWS = 1 << 21
 ROWS = 1 << 17
