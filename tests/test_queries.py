@@ -44,6 +44,20 @@ def test_against_sql(spark, sf, duck, name):
     assert sorted("|".join(_cell(r[c]) for c in sorted(columns)) for r in rows) == expected
 
 
+def test_random_recall_by_replaying(spark, sf, duck):
+    """Every element recalls one of its own type that was seen by then, the one that the same seed gives in a plain loop."""
+    import random
+    from collections import defaultdict
+
+    found = {r.event_id: r.recalled for r in QUERIES["random_recall"](spark, sf).collect()}
+    rng, seen = defaultdict(lambda: random.Random(7)), defaultdict(list)
+    for i, kind in duck.execute("select event_id, event_type from events order by event_id").fetchall():
+        seen[kind] = [*seen[kind], i]
+        assert found.pop(i) == rng[kind].choice(seen[kind])
+        seen[kind] = seen[kind][-64:]
+    assert not found
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
