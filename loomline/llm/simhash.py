@@ -13,7 +13,7 @@ near duplicates, and groups are what they connect.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -33,8 +33,13 @@ MAX_DISTANCE = 56
 TABLES = 104
 SAMPLED = 13
 #: A bucket of more rows is split by EXTRA further bits, in SPLITS ways.
-CAP = 1024
+CAP = 4096
 EXTRA, SPLITS = 4, 4
+#: Buckets of at most so many rows are compared many at once.
+SMALL = 512
+#: Rows of a larger bucket that are compared at once with so many others, and pairs of small ones at once; what this takes stays in a core's cache.
+BLOCK, TILE = 128, 1024
+SLICE = 1 << 15
 SEED = 7
 #: Texts are read in slices of about so many characters.
 CHARS = 1 << 20
@@ -199,6 +204,19 @@ def _leaves(f: np.ndarray, rows: np.ndarray, places: np.ndarray) -> Iterator[np.
         yield from _leaves(f, rows[p], places[SPLITS * EXTRA :])
 
 
+def _near(pairs: Callable[[int], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Places of the near pairs, pairs(w) being words w of both sides, which broadcast; the last word is looked at only where the others are near."""
+    d = np.bitwise_count(np.bitwise_xor(*pairs(0)))
+    for w in range(1, WORDS - 1):
+        d += np.bitwise_count(np.bitwise_xor(*pairs(w)))  # of three words 192 at most: a byte
+    at = np.unravel_index(np.flatnonzero(d <= MAX_DISTANCE), d.shape)
+    if not len(at[0]):
+        return at
+    x, y = (np.broadcast_to(side, d.shape)[at] for side in pairs(WORDS - 1))
+    near = d[at] + np.bitwise_count(x ^ y) <= MAX_DISTANCE
+    return tuple(i[near] for i in at)
+
+
 def _crowd(f: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what near pairs among the rows connect.
 
@@ -206,51 +224,80 @@ def _crowd(f: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     aren't connected to it, so a crowd of copies costs a block, not its square.
     """
     n = len(rows)
+    words = np.ascontiguousarray(f[rows].T)
     root = np.arange(n)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(0, n, 256):
-        block = np.arange(i, min(i + 256, n))
-        one = root[block[0]]
-        target = np.flatnonzero(root != one) if (root[block] == one).all() else np.arange(i, n)
-        if not len(target):
-            continue
-        d = np.zeros((len(block), len(target)), np.int32)
-        for w in range(WORDS):
-            d += np.bitwise_count(f[rows[block], w][:, None] ^ f[rows[target], w][None, :])
-        x, y = np.nonzero(d <= MAX_DISTANCE)
-        x, y = block[x], target[y]
-        apart = root[x] != root[y]
-        x, y = x[apart], y[apart]
-        if not len(x):
-            continue
-        joined = _forest(root[x], root[y], n)
-        _, pick = np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_index=True)
-        a.append(x[pick])
-        b.append(y[pick])
-        root = joined[root]
+    for i in range(0, n, BLOCK):
+        block = words[:, i : i + BLOCK, None]
+        own = root[i : i + BLOCK]
+        # rows before the block have met it, or were connected to what did
+        target = i + np.flatnonzero(root[i:] != own[0]) if (own == own[0]).all() else np.arange(i, n)
+        others = words[:, target]
+        for j in range(0, len(target), TILE):
+            x, y = _near(lambda w: (block[w], others[w, j : j + TILE]))
+            x, y = i + x, target[j + y]
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+            if not len(x):
+                continue
+            joined = _forest(root[x], root[y], n)
+            if len(x) > n:  # few are worth no sorting
+                low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+                _, pick = np.unique(low * n + high, return_index=True)
+                x, y = x[pick], y[pick]
+            a.append(x)
+            b.append(y)
+            root = joined[root]
     return rows[np.concatenate(a)], rows[np.concatenate(b)]
 
 
+def _rounds(f: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what near pairs connect within buckets that lie one after another, the longest first.
+
+    Every row is compared with the next, the next but one and so on, while its
+    bucket is that long: such rows come first, so whole slices are compared.
+    """
+    words = np.ascontiguousarray(f.T)
+    of = np.repeat(np.arange(len(size)), size)
+    ends = np.cumsum(size)
+    root = np.arange(len(f))
+    a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for lag in range(1, int(size[0]) if len(size) else 0):
+        n = int(ends[np.searchsorted(-size, -lag) - 1]) - lag  # rows of buckets longer than lag
+        for s in range(0, n, SLICE):
+            e = min(s + SLICE, n)
+            (x,) = _near(lambda w: (words[w, s:e], words[w, s + lag : e + lag]))
+            x = s + x
+            y = x + lag
+            new = (of[x] == of[y]) & (root[x] != root[y])
+            a.append(x[new])
+            b.append(y[new])
+            more += int(new.sum())
+        if more > len(f):  # from here on leave out what these connect
+            root, more = _forest(np.concatenate(a), np.concatenate(b), len(f)), 0
+    return np.concatenate(a), np.concatenate(b)
+
+
 def bucket_edges(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (row, row) between rows of one bucket that are near; they connect what is connected by near pairs of a bucket or leaf."""
     order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1))
+    size = np.diff(np.append(starts, len(key)))
+    longest = np.argsort(-size, kind="stable")
+    starts, size = starts[longest], size[longest]
+    first = np.cumsum(size) - size
+    order = order[np.repeat(starts - first, size) + np.arange(len(key))]
     key, f = key[order], f[order]
-    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-    ends = np.append(starts[1:], len(key))
-    size = ends - starts
-    end_of = np.repeat(ends, size)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    lag, at = 1, np.flatnonzero(np.repeat(size <= CAP, size))
-    while len(at := at[at + lag < end_of[at]]):
-        near = np.bitwise_count(f[at] ^ f[at + lag]).sum(1) <= MAX_DISTANCE
-        found.append((at[near], at[near] + lag))
-        lag += 1
+    large = int((size > min(SMALL, CAP)).sum())
+    rest = int(size[:large].sum())
+    found = [tuple(x + rest for x in _rounds(f[rest:], size[large:]))]
     perms = samples()
-    for s, e in zip(starts[size > CAP], ends[size > CAP]):
-        for rows in _leaves(f, np.arange(s, e), perms[int(key[s]) >> SAMPLED, SAMPLED:]):
-            found.append(_crowd(f, rows))
-    a = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in found)])
-    b = np.concatenate([np.zeros(0, np.int64), *(x for _, x in found)])
+    for s, n in zip(first[:large], size[:large]):
+        rows = np.arange(s, s + n)
+        for leaf in _leaves(f, rows, perms[int(key[s]) >> SAMPLED, SAMPLED:]) if n > CAP else (rows,):
+            found.append(_crowd(f, leaf))
+    a = np.concatenate([x for x, _ in found])
+    b = np.concatenate([x for _, x in found])
     return order[a], order[b]
 
 
@@ -285,7 +332,8 @@ def near_edges(one: DataFrame) -> DataFrame:
     """Edges (a, b), a < b, between the ids of distinct fingerprints (first, f0, ...), whose components are the groups of near ones."""
     spark = one.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-one.count() * TABLES // TASK_ROWS))
-    keyed = one.select(F.col("first").alias("doc_id"), *(f"f{w}" for w in range(WORDS))).mapInArrow(_keyed, "key int, " + SIGNED)
+    # each row becomes TABLES rows: in few tasks these would be spilled before they are shuffled
+    keyed = one.select(F.col("first").alias("doc_id"), *(f"f{w}" for w in range(WORDS))).repartition(parts).mapInArrow(_keyed, "key int, " + SIGNED)
     return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_edges, "a long, b long")
 
 

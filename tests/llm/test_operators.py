@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against brute force, round trips or held-out accuracy."""
 
 import collections
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -486,6 +487,56 @@ def test_isolated_pairs_meet_where_buckets_are_split(distance, monkeypatch):
     assert met.mean() > {40: 0.99, 45: 0.97}.get(distance, 0.93)
 
 
+def pairs_by_index(key, f):
+    """Near pairs of a bucket, every row compared with each later one by arrays of places."""
+    end = np.searchsorted(key, key, side="right")
+    found, lag, at = [], 1, np.arange(len(key))
+    while len(at := at[at + lag < end[at]]):
+        near = np.bitwise_count(f[at] ^ f[at + lag]).sum(1) <= simhash.MAX_DISTANCE
+        found.append((at[near], at[near] + lag))
+        lag += 1
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+@pytest.mark.parametrize("small", [1, 20, 512])
+def test_buckets_connect_what_near_pairs_connect(small, monkeypatch):
+    for name, value in (("SMALL", small), ("BLOCK", 16), ("TILE", 24), ("SLICE", 50)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(6)
+    key = np.sort(np.concatenate([np.repeat(np.arange(30), rng.integers(1, 60, 30)), np.repeat(30, 300)])).astype(np.int32)
+    f = rng.integers(0, 2**63, (200, simhash.WORDS), dtype=np.uint64)[rng.integers(0, 200, len(key))]
+    f ^= rng.integers(0, 2**63, f.shape, dtype=np.uint64) & rng.integers(0, 2**63, f.shape, dtype=np.uint64) & rng.integers(0, 2**63, f.shape, dtype=np.uint64)
+    mixed = rng.permutation(len(key))
+    a, b = simhash.bucket_edges(key[mixed], f[mixed])
+    assert len(a) and (simhash.distance(f[mixed][a], f[mixed][b]) <= simhash.MAX_DISTANCE).all() and (key[mixed][a] == key[mixed][b]).all()
+    assert list(simhash._forest(mixed[a], mixed[b], len(key))) == list(simhash._forest(*pairs_by_index(key, f), len(key)))
+
+
+def test_a_bucket_of_thousands_is_compared_whole():
+    rng = np.random.default_rng(9)
+    f = rng.integers(0, 2**64, (1500, simhash.WORDS), dtype=np.uint64)
+    other = np.unpackbits(f.view(np.uint8), axis=1, bitorder="little")
+    flip = np.argsort(rng.random(other.shape), axis=1)[:, : simhash.MAX_DISTANCE]
+    np.put_along_axis(other, flip, 1 - np.take_along_axis(other, flip, 1), 1)
+    f = np.concatenate([f, np.packbits(other, axis=1, bitorder="little").view(np.uint64)])
+    a, b = simhash.bucket_edges(np.zeros(len(f), np.int64), f)
+    assert {(i, i + 1500) for i in range(1500)} <= {(int(min(x)), int(max(x))) for x in zip(a, b)}
+
+
+def test_comparing_takes_a_fraction_of_the_time_that_places_take():
+    rng = np.random.default_rng(10)
+    key = np.repeat(np.arange(40, dtype=np.int32), 300)
+    f = rng.integers(0, 2**64, (len(key), simhash.WORDS), dtype=np.uint64)
+
+    def seconds(compare):
+        began = time.process_time()
+        compare(key, f)
+        return time.process_time() - began
+
+    took = [min(seconds(c) for _ in range(3)) for c in (simhash.bucket_edges, pairs_by_index)]
+    assert took[0] < took[1] / 2
+
+
 def test_long_texts_of_the_same_words_are_apart():
     rng = np.random.default_rng(0)
     words = np.array([f"w{i}" for i in range(3000)])
