@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,11 +82,12 @@ def runs(key: Column, name: str = "run") -> Step:
     """Number the runs of consecutive equal keys (nulls are equal), from 0."""
 
     def apply(s: Seq) -> Seq:
-        before = s.with_df(s.df.withColumn("_k", key)).previous(_p=F.struct(F.col("_k").alias("k")))
+        one = replace(s, keeps_blocks=True)
+        before = one.with_df(one.df.withColumn("_k", key)).previous(_p=F.struct(F.col("_k").alias("k")))
         changed = F.col("_p").isNotNull() & ~F.col("_p.k").eqNullSafe(F.col("_k"))
         marked = before.with_df(before.df.withColumn("_c", changed.cast("long")).drop("_p", "_k"))
         out = marked.running(**{name: ("sum", F.col("_c"))})
-        return out.with_df(out.df.drop("_c"))
+        return out.with_df(out.df.drop("_c")).left(s)
 
     return Step("runs", apply, stable=True)
 
@@ -103,7 +106,7 @@ def ranges_by(key: Column) -> Step:
     """Each run of consecutive equal keys as its first and last index."""
 
     def apply(s: Seq) -> Seq:
-        one = runs(key)(s.indexed("_i"))
+        one = runs(key)(replace(s, keeps_blocks=True).indexed("_i"))
         return s.with_df(one.df.groupBy(*s.by, "run").agg(F.min("_i").alias("first"), F.max("_i").alias("last")), ("run",))
 
     return Step("ranges_by", apply)
