@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,9 +48,9 @@ def running_stat(kind: str, column: str, name: str = "x") -> Step:
         return Step(f"running_{kind}", lambda s: s.running(_x=(kind, F.col(column))).select(F.col("_x").alias(name)), stable=True)
     least = {"mean": 0, "variance": 1, "deviation": 1}[kind]
 
-    def apply(s: Seq) -> Seq:
+    def apply(given: Seq) -> Seq:
         x = F.col(column).cast("double")
-        s = s.blocked()
+        s = given.blocked()
         w = s.so_far()
         n, mean, squares = F.count(x).over(w), F.avg(x).over(w), F.var_pop(x).over(w) * F.count(x).over(w)
         df = s.df.withColumns({"_n": n, "_m": mean, "_q": squares})
@@ -66,7 +67,7 @@ def running_stat(kind: str, column: str, name: str = "x") -> Step:
             df = df.withColumn("_s", merged).withColumns({"_n": F.col("_s.n"), "_m": F.col("_s.m"), "_q": F.col("_s.q")})
         variance = F.col("_q") / (F.col("_n") - 1)
         value = {"mean": F.col("_m"), "variance": variance, "deviation": F.sqrt(variance)}[kind]
-        return s.with_df(df).select(F.when(F.col("_n") > least, value).alias(name))
+        return s.with_df(df).select(F.when(F.col("_n") > least, value).alias(name)).left(given)
 
     return Step(f"running_{kind}", apply, stable=True)
 
@@ -178,15 +179,17 @@ def zip_(**branches: Step) -> Step:
 
     def apply(s: Seq) -> Seq:
         source = s.values
-        now = _carried(s, _src=F.struct(*[F.col(c) for c in source]))
+        # cut before, as the order then has the values too
+        now = _carried(replace(s.cut(), keeps_blocks=True), _src=F.struct(*[F.col(c) for c in source]))
         for name, step in branches.items():
             out = step(now)
             value = F.col(out.values[0]) if len(out.values) == 1 else F.struct(*[F.col(c) for c in out.values])
             held = [c for c in out.order if c.startswith("_z_")]
-            df = out.df.select(*[F.col(c) for c in (*s.by, *out.order)], value.alias(f"_z_{name}"), *[F.col("_src")[c].alias(c) for c in source])
+            df = out.df.select(*[F.col(c) for c in (*s.by, *out.order, *([BLOCK] if out.is_blocked else []))], value.alias(f"_z_{name}"), *[F.col("_src")[c].alias(c) for c in source])
             base = [c for c in out.order if c not in held and c != "_src"]
             now = out.with_df(df, (*base, "_src", *held, f"_z_{name}"))
         order = [c for c in now.order if c != "_src" and not c.startswith("_z_")]
-        return now.with_df(now.df.select(*s.by, *order, *[F.col(f"_z_{n}").alias(n) for n in branches]), order)
+        out = now.df.select(*s.by, *order, *([BLOCK] if now.is_blocked else []), *[F.col(f"_z_{n}").alias(n) for n in branches])
+        return now.with_df(out, order).left(s)
 
     return Step("zip", apply, any(b.expansive for b in branches.values()), all(b.stable for b in branches.values()))
